@@ -93,7 +93,8 @@ def mixture(
     actual_tokens, documents, max_repeats, available_tokens), with a row per
     target. Empty tables give an empty mixture.
 
-    Method: pfair scheduling over blocks of size / slots tokens, see pfair. The
+    Method: pfair scheduling over blocks of size / slots tokens, but at least eight
+    times the largest document, as documents stay whole; see pfair. The
     schedule has at most slots and a block per source, whatever the corpus, so it
     is made on the driver and broadcast. The order within a source is that of a
     hash of doc_id and seed; running sums of tokens are taken per bucket of that
@@ -115,7 +116,8 @@ def mixture(
     if size is None:
         size = docs.agg(F.sum("_n")).first()[0] or 0
     quota = quotas({s: (w, sums.get(s, 0) * r) for s, (w, r) in weights.items()}, size)
-    block = max(sum(quota.values()) / slots, 1.0)
+    largest = known.agg(F.max("_n")).first()[0] or 1
+    block = max(sum(quota.values()) / slots, 8.0 * largest)
     order = pfair({s: q / block for s, q in quota.items() if q > 0}, 2 * slots + len(quota))
     plan = spark.createDataFrame([(s, j, n) for n, (s, j) in enumerate(order)], "_s string, _block long, slot long")
     shares = spark.createDataFrame([(s, float(q), sums.get(s, 0)) for s, q in quota.items()], "_s string, _q double, _all long")

@@ -8,6 +8,7 @@ from voxloom.llm.encode import count_tokens, encode_texts
 from voxloom.llm.mixing import mixture
 from voxloom.llm.nearest import nearest_by_ticks
 from voxloom.llm.pieces import pieces
+from voxloom.llm.quality import text_quality
 from voxloom.llm.turns import spoken_segments, turns
 from voxloom.session import materialize
 from voxloom.sources import table
@@ -18,11 +19,11 @@ def _spoken(spark: SparkSession, d: str, with_text: bool = False) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return turns(_spoken(spark, d)).select("session_id", "speaker_id", "first_seg", "last_seg")
+    return turns(materialize(_spoken(spark, d), "spoken-segments")).select("session_id", "speaker_id", "first_seg", "last_seg")
 
 
 def p1_turns(spark: SparkSession, d: str) -> DataFrame:
-    return turns(_spoken(spark, d, True))
+    return turns(materialize(_spoken(spark, d, True), "spoken-texts"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +56,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_turns, p2_found, p5_found, p5_pieces, p7_ids, p8_mixture, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_statistics(spark, d).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
+
+
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return text_quality(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_turns, p2_found, p5_found, p5_pieces, p7_ids, p8_mixture, p8_shares, p9_found, p9_statistics)}
 
 _NEAR = """
 select seg_id, match_id from (
