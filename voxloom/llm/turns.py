@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,14 +44,18 @@ def words_of(text: str) -> Column:
     return F.pandas_udf(_words, "string")(text)
 
 
-def _who(group: pd.DataFrame) -> pd.DataFrame:
-    """Of one session, the person of each labelled id and of each name in its texts."""
-    session = group["session_id"].iloc[0]
-    labels = group[group["kind"] == "id"].sort_values(["speaker_id", "name"], na_position="first")
-    persons = Persons({int(i): n if isinstance(n, str) else None for i, n in zip(labels["speaker_id"], labels["name"])})
-    out = [(session, "id", i, None, p) for i, p in persons.persons.items() if p != i]
-    out += [(session, "name", None, n, w) for n in sorted(set(group.loc[group["kind"] == "name", "name"])) if (w := persons.who(n)) is not None]
-    return pd.DataFrame(out, columns=["session_id", "kind", "speaker_id", "name", "person"]).astype({"speaker_id": "Int64", "person": "Int64"})
+def _who(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each session, the person of each labelled id and of each name in its texts."""
+    for frame in frames:
+        out = []
+        for session, labels, names in zip(frame["session_id"], frame["labels"], frame["names"]):
+            spelled: dict[int, str | None] = {}
+            for x in sorted(labels, key=lambda x: (x["speaker_id"], x["name"] or "")):
+                spelled[int(x["speaker_id"])] = x["name"]
+            persons = Persons(spelled)
+            out += [(session, "id", i, None, p) for i, p in persons.persons.items() if p != i]
+            out += [(session, "name", None, n, w) for n in sorted(set(names)) if (w := persons.who(n)) is not None]
+        yield pd.DataFrame(out, columns=["session_id", "kind", "speaker_id", "name", "person"]).astype({"speaker_id": "Int64", "person": "Int64"})
 
 
 def persons_of(labels: DataFrame, names: DataFrame) -> DataFrame:
@@ -64,7 +70,11 @@ def persons_of(labels: DataFrame, names: DataFrame) -> DataFrame:
     rows = labels.select("session_id", F.lit("id").alias("kind"), F.col("speaker_id").cast("long").alias("speaker_id"), F.col("display_name").alias("name"))
     rows = rows.unionByName(names.select("session_id", F.lit("name").alias("kind"), F.lit(None).cast("long").alias("speaker_id"), "name"))
     schema = "session_id string, kind string, speaker_id long, name string, person long"
-    return rows.distinct().groupBy("session_id").applyInPandas(_who, schema)
+    rows = rows.distinct().groupBy("session_id").agg(
+        F.collect_list(F.when(F.col("kind") == "id", F.struct("speaker_id", "name"))).alias("labels"),
+        F.collect_list(F.when(F.col("kind") == "name", F.col("name"))).alias("names"),
+    )
+    return rows.mapInPandas(_who, schema)
 
 
 def longest_overlap(segments: DataFrame, intervals: DataFrame, width: int = HOUR_MS) -> DataFrame:
