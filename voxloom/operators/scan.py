@@ -37,3 +37,57 @@ def carried_max(df: DataFrame, keys: Sequence[str], bucket: str, columns: dict[s
     return out.withColumns({name: F.greatest(f"_i_{c}", f"_c_{c}") for c, name in columns.items()}).drop(
         "_sb", *[f"_i_{c}" for c in columns], *[f"_c_{c}" for c in columns]
     )
+
+
+def carried_sum(df: DataFrame, keys: Sequence[str], bucket: str, columns: dict[str, str], fan_in: int = FAN_IN) -> DataFrame:
+    """Add for each (keys, bucket) row the sum of all earlier buckets, 0 for the first; two levels as in carried_max."""
+    keys = list(keys)
+    top = df.withColumn("_sb", F.floor(F.col(bucket) / fan_in))
+    sums = top.groupBy(*keys, "_sb").agg(*[F.sum(c).alias(f"_s_{c}") for c in columns])
+    before = Window.partitionBy(*keys).orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "_sb", *[F.sum(f"_s_{c}").over(before).alias(f"_c_{c}") for c in columns])
+    inner = Window.partitionBy(*keys, "_sb").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    top = top.withColumns({f"_i_{c}": F.sum(c).over(inner) for c in columns})
+    out = top.join(sums, [*keys, "_sb"])
+    return out.withColumns({name: F.coalesce(f"_i_{c}", F.lit(0)) + F.coalesce(f"_c_{c}", F.lit(0)) for c, name in columns.items()}).drop(
+        "_sb", *[f"_i_{c}" for c in columns], *[f"_c_{c}" for c in columns]
+    )
+
+
+def sliced(df: DataFrame, keys: Sequence[str], at: str, width: int) -> DataFrame:
+    """df with _slice, the stretch of width along at, partitioned by (keys, _slice)."""
+    return df.withColumn("_slice", F.floor(F.col(at) / width)).repartition(*keys, "_slice")
+
+
+def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str]) -> DataFrame:
+    """Add the values of the row before, along order, of sliced rows; also across slices, null at the start."""
+    keys = list(keys)
+    w = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    packed = F.struct(*columns)
+    rows = df.withColumn("_lag", F.lag(packed).over(w))
+    ends = df.groupBy(*keys, "_slice").agg(F.max_by(packed, F.struct(*order)).alias("_end"))
+    ends = ends.withColumn("_tagged", F.struct(F.col("_slice"), F.col("_end")))
+    ends = carried_max(ends.select(*keys, "_slice", "_tagged"), keys, "_slice", {"_tagged": "_before"}).select(*keys, "_slice", F.col("_before._end").alias("_before"))
+    rows = rows.join(ends, [*keys, "_slice"])
+    one = F.coalesce("_lag", "_before")
+    return rows.withColumns({name: one[c] for c, name in columns.items()}).drop("_lag", "_before")
+
+
+def last_start(df: DataFrame, keys: Sequence[str], order: Sequence[str], starts: str, name: str) -> DataFrame:
+    """Add the order values, as a struct, of the last row up to this one for which starts is true; also across slices."""
+    keys = list(keys)
+    w = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    mark = F.when(F.col(starts), F.struct(*order))
+    rows = df.withColumn("_own", F.max(mark).over(w))
+    ends = df.groupBy(*keys, "_slice").agg(F.max(mark).alias("_end"))
+    ends = carried_max(ends, keys, "_slice", {"_end": "_before"}).select(*keys, "_slice", "_before")
+    return rows.join(ends, [*keys, "_slice"]).withColumn(name, F.coalesce("_own", "_before")).drop("_own", "_before")
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Add the sum of value up to and with each row, along order, also across slices."""
+    keys = list(keys)
+    w = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumn("_own", F.sum(value).over(w))
+    ends = carried_sum(df.groupBy(*keys, "_slice").agg(F.sum(value).alias("_end")), keys, "_slice", {"_end": "_before"}).select(*keys, "_slice", "_before")
+    return rows.join(ends, [*keys, "_slice"]).withColumn(name, F.coalesce("_own", F.lit(0)) + F.col("_before")).drop("_own", "_before")

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.plans import general
+from voxloom.plans import files, general, recordings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**general.QUERIES}
+    return {**general.QUERIES, **recordings.QUERIES, **files.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**general.ORACLE}
+    return {**general.ORACLE, **recordings.ORACLE, **files.ORACLE}
