@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.captions import Line, clean_text
 from voxloom.llm.names import Persons
+from voxloom.operators.overlap import assign_speaker
 from voxloom.operators.scan import carried_max
 from voxloom.session import materialize
 
@@ -77,29 +78,6 @@ def persons_of(labels: DataFrame, names: DataFrame) -> DataFrame:
     return rows.mapInPandas(_who, schema)
 
 
-def longest_overlap(segments: DataFrame, intervals: DataFrame, width: int = HOUR_MS) -> DataFrame:
-    """(seg_id, speaker_id): whose intervals overlap the segment longest; of equal ones the smallest id.
-
-    Both sides are cut at multiples of width and joined on (session, slice), so
-    neither a long interval nor a hot session makes more pairs than fall into
-    one slice. Rows without positive length, and copies of an interval, don't count.
-    """
-
-    def sliced(df: DataFrame) -> DataFrame:
-        df = df.where(F.col("end_ms") > F.col("start_ms"))
-        return df.withColumn("_slice", F.explode(F.expr(f"sequence(start_ms div {width}, (end_ms - 1) div {width})")))
-
-    left = sliced(segments.select("session_id", "seg_id", "start_ms", "end_ms"))
-    right = intervals.where(F.col("speaker_id").isNotNull()).select("session_id", "interval_id", "start_ms", "end_ms", "speaker_id")
-    right = sliced(right).withColumnsRenamed({"start_ms": "s", "end_ms": "e"})
-    common = F.least("end_ms", "e", (F.col("_slice") + 1) * width) - F.greatest("start_ms", "s", F.col("_slice") * width)
-    pairs = left.join(right, ["session_id", "_slice"]).where((F.col("s") < F.col("end_ms")) & (F.col("e") > F.col("start_ms")))
-    pairs = pairs.groupBy("seg_id", "interval_id", "speaker_id", "_slice").agg(F.max(common).alias("common"))
-    sums = pairs.groupBy("seg_id", "speaker_id").agg(F.sum("common").alias("common")).where("common > 0")
-    best = sums.groupBy("seg_id").agg(F.max(F.struct("common", (-F.col("speaker_id")).alias("minus"))).alias("x"))
-    return best.select("seg_id", (-F.col("x.minus")).alias("speaker_id"))
-
-
 def spoken_segments(segments: DataFrame, labels: DataFrame, intervals: DataFrame, with_text: bool = False) -> DataFrame:
     """(session_id, seg_id, start_ms, person[, text]) of the segments with words, as far as a person is known."""
     text = [words_of("text").alias("text")] if with_text else []
@@ -118,7 +96,7 @@ def spoken_segments(segments: DataFrame, labels: DataFrame, intervals: DataFrame
 
     said = unknown.select("session_id", "seg_id", F.posexplode("names").alias("at", "name")).join(means, ["session_id", "name"])
     said = said.groupBy("seg_id").agg(F.min_by("person", "at").alias("said"))
-    heard = longest_overlap(unknown, intervals)
+    heard = assign_speaker(unknown, intervals).select("seg_id", "speaker_id")
     unknown = unknown.join(said, "seg_id", "left").join(heard, "seg_id", "left")
     columns = ["session_id", "seg_id", "start_ms", "speaker_id", "said", *(["text"] if with_text else [])]
     rows = known.withColumn("said", F.lit(None).cast("long")).select(columns).unionByName(unknown.select(columns))
