@@ -32,7 +32,9 @@ def _encoding(path: str):
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("voxloom", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), regex.compile(public_tokenizers.PATTERN)
+    # White space is Unicode's in the tokenizer's engine, while regex counts the separators 1C to 1F as well.
+    words = public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+    return tiktoken.Encoding("voxloom", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), regex.compile(words)
 
 
 @lru_cache(maxsize=4)
@@ -112,14 +114,15 @@ class ChunkEncoder:
             self.room -= cost
         return ids
 
-    def _repaired(self, left: bytes, left_ids: np.ndarray, right: bytes, right_ids: np.ndarray) -> list[tuple[bytes, np.ndarray]]:
+    def _repaired(self, left: bytes, left_ids: np.ndarray | None, right: bytes, right_ids: np.ndarray) -> list[tuple[bytes, np.ndarray | None]]:
         """Parts that stand for left followed by right, each of whole words of the joint text.
 
         The last but one word of left begins at a place where the pattern also
         begins a word in the joint text (the last one need not: an apostrophe
         before it may become part of it). From there that is split again until a word begins
         where one begins in right alone: from there on both agree, and only what
-        lies between is encoded anew. If they never agree, all of it is.
+        lies between is encoded anew. If they never agree, what follows left's whole
+        words stays open (without ids) and is encoded once the next agreement is met.
         """
         encode = self.encoding.encode_ordinary
         a, b = left.decode("utf-8"), right.decode("utf-8")
@@ -128,31 +131,44 @@ class ChunkEncoder:
             before_last, last = last, m.start()
         last = before_last
         tail = a[last:]
+        whole = left_ids[: len(left_ids) - len(encode(tail))] if left_ids is not None else None
         # Words are encoded one by one: without what follows it, white space would split otherwise.
         ids_before = {0: 0}
         for m in self.pattern.finditer(b):
             ids_before[m.end()] = ids_before[m.start()] + len(encode(m.group()))
         middle: list[int] = []
-        for m in self.pattern.finditer(tail + b):
+        joint_words = list(self.pattern.finditer(tail + b))
+        # What follows right may yet change where its last word begins, so that is no agreement.
+        for m in joint_words[:-2]:
             middle += encode(m.group())
             at = m.end() - len(tail)
             if 0 <= at < len(b) and at in ids_before:
-                off = len(encode(tail))
                 joint = np.array(middle, np.int32)
-                parts = [(a[:last].encode("utf-8"), left_ids[: len(left_ids) - off]), ((tail + b[:at]).encode("utf-8"), joint), (b[at:].encode("utf-8"), right_ids[ids_before[at] :])]
+                parts = [(a[:last].encode("utf-8"), whole), ((tail + b[:at]).encode("utf-8"), joint), (b[at:].encode("utf-8"), right_ids[ids_before[at] :])]
                 return [p for p in parts if p[0]]
-        return [(left + right, np.array(encode(a + b), np.int32))]
+        return [p for p in ((a[:last].encode("utf-8"), whole), ((tail + b).encode("utf-8"), None)) if p[0]]
 
     def _document(self, chunks: list[bytes], splits: list[bool]) -> np.ndarray:
         """Ids of one text; splits: whether the edge before a chunk may split a word."""
-        parts: list[tuple[bytes, np.ndarray]] = []
+        parts: list[tuple[bytes, np.ndarray | None]] = []
         for chunk, split in zip(chunks, splits):
             ids = self._ids(chunk)
             if parts and (split or parts[-1][0][-1] >= 0x80 and parts[-1][0].decode("utf-8")[-1].isspace()):
                 parts += self._repaired(*parts.pop(), chunk, ids)
             else:
                 parts.append((chunk, ids))
-        return np.concatenate([p for _, p in parts]) if len(parts) != 1 else parts[0][1]
+        ids = [p if p is not None else self._open(parts, n) for n, (_, p) in enumerate(parts)]
+        return np.concatenate(ids) if len(ids) != 1 else ids[0]
+
+    def _open(self, parts: list[tuple[bytes, np.ndarray | None]], n: int) -> np.ndarray:
+        """Ids of an open part, split with the start of the text behind it in view, on which the split of white space depends."""
+        text = parts[n][0].decode("utf-8")
+        after = parts[n + 1][0].decode("utf-8")[:1] if n + 1 < len(parts) else ""
+        ids: list[int] = []
+        for m in self.pattern.finditer(text + after):
+            if m.start() < len(text):
+                ids += self.encoding.encode_ordinary(m.group()[: len(text) - m.start()])
+        return np.array(ids, np.int32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
         """Offsets and arrays of ids for a column of texts; null and empty texts have none."""
