@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from voxloom.operators.replay import contiguous_watermark, replay
+from voxloom.operators.replay import contiguous_watermark, replay, state_parts
 
 SCHEMA = "change_id long, rel_path string, synced_at long, deleted_at long, etag string"
 
@@ -38,6 +38,20 @@ def test_held_changes_and_transactions(spark):
     assert sorted((r.rel_path, r.change_id) for r in out.collect()) == [("a", 1), ("b", 2)]
 
 
+def test_held_changes_are_merged_into_the_committed_state(spark):
+    rows = [
+        (1, "a", 10, None, "1"), (2, "b", 11, None, "1"), (3, "c", 20, None, "1"), (4, "d", 12, 12, None), (9, "a", 12, None, "2"),
+        (8, "b", 13, 13, None), (7, "c", 15, None, "late"), (6, "d", 11, None, "late"), (10, "e", None, None, "1"), (11, "f", 1, 1, None),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    parts = state_parts(df, contiguous_watermark(df, "change_id"), "rel_path", "change_id", "synced_at").collect()
+    number = lambda x: x and x.order.q
+    assert {r.rel_path: (number(r.committed), number(r.held)) for r in parts} == {"a": (1, 9), "b": (2, 8), "c": (3, 7), "d": (4, 6), "e": (None, 10), "f": (None, 11)}
+    state = lambda close: sorted((r.rel_path, r.change_id, r.etag, r.after_gap) for r in replay(df, close=close).collect())
+    assert state(False) == [("a", 1, "1", False), ("b", 2, "1", False), ("c", 3, "1", False)]
+    assert state(True) == [("a", 9, "2", True), ("c", 3, "1", False), ("e", 10, "1", True)]
+
+
 def test_shuffled_feed_gives_the_same_state(spark):
     rng = random.Random(2)
     rows = [(i, f"p{rng.randint(0, 9)}", rng.randint(1, 30), rng.choice([None, None, 3]), str(i)) for i in range(1, 200)]

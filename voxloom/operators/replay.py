@@ -55,6 +55,22 @@ def contiguous_watermark(changes: DataFrame, seq: str) -> int | None:
     return ends.select("_b", "_bits", "_lo", "_hi", "_n").mapInArrow(first_end, "end long").agg(F.min("end")).first()[0]
 
 
+def state_parts(rows: DataFrame, watermark: int | None, key: str, seq: str, at: str | Column) -> DataFrame:
+    """(key, committed, held): the last change of each key up to the watermark, and the last one beyond it.
+
+    Each is a struct of order (time and seq) and change, the other columns; null
+    without such a change. Deletions are kept, since what is held may come before
+    or after them. Both are maxima combined before the shuffle, so copies, late
+    and unordered changes and hot keys need nothing else.
+    """
+    change = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != key])
+    order = F.struct(instant_ns(at).alias("t"), F.col(seq).alias("q"))
+    value = F.struct(order.alias("order"), change.alias("change"))
+    beyond = F.col(seq) > F.lit(watermark if watermark is not None else 0)
+    last = lambda which: F.max_by(F.when(which, value), F.when(which, order))
+    return rows.groupBy(key).agg(last(~beyond).alias("committed"), last(beyond).alias("held"))
+
+
 def replay(
     feed: DataFrame,
     key: str = "rel_path",
@@ -77,16 +93,15 @@ def replay(
     have come (without these columns each change is one). The presence of the
     numbers of complete transactions, as bitmaps, gives the watermark up to which
     nothing is missing. Keys don't conflict with each other, so they are replayed
-    in parallel as a maximum that is combined before the shuffle; copies, late
-    and unordered changes and hot keys need nothing else. With close=False only
-    changes up to the watermark are exposed and later ones held; close=True is
-    the end of the feed: gaps are taken as lost and held changes released.
+    in parallel: see state_parts. With close=False only changes up to the
+    watermark are exposed and later ones held; close=True is the end of the feed:
+    gaps are taken as lost, and the held changes are released and merged into the
+    state up to the watermark.
 
     Copies of a change (equal seq) are taken as equal; of differing ones any one
     that the order allows remains. An empty feed gives an empty result.
     """
     columns = feed.columns
-    when = instant_ns(at)
     rows = feed.where(F.col(key).isNotNull() & F.col(seq).isNotNull())
     complete = feed
     if transaction and transaction_size:
@@ -94,13 +109,10 @@ def replay(
         whole = sizes.where(F.col("_have") >= F.coalesce("_want", F.lit(1))).select(transaction)
         complete = feed.join(whole, transaction, "left_semi")
         rows = rows.join(whole, transaction, "left_semi")
-    watermark = contiguous_watermark(complete, seq)
-    beyond = F.col(seq) > F.lit(watermark if watermark is not None else 0)
-    if not close:
-        rows = rows.where(~beyond)
-    entry = F.struct(*[F.col(f"`{c}`") for c in columns if c != key])
-    order = F.struct(when.alias("t"), F.col(seq).alias("q"))
-    last = rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(entry, order).alias("_x"))
-    last = last.where(F.col(f"_x.`{deleted}`").isNull())
-    out = last.select(*[F.col("_key").alias(c) if c == key else F.col(f"_x.`{c}`").alias(c) for c in columns])
-    return out.withColumn("after_gap", beyond)
+    parts = state_parts(rows, contiguous_watermark(complete, seq), key, seq, at)
+    state, tail = F.col("committed"), F.col("held")
+    later = tail.isNotNull() & (state.isNull() | (tail["order"] > state["order"])) if close else F.lit(False)
+    last = parts.select(key, F.when(later, tail["change"]).otherwise(state["change"]).alias("_x"), later.alias("_later"))
+    last = last.where(F.col("_x").isNotNull() & F.col(f"_x.`{deleted}`").isNull())
+    out = last.select(*[F.col(f"`{c}`") if c == key else F.col(f"_x.`{c}`").alias(c) for c in columns], "_later")
+    return out.withColumn("after_gap", F.col("_later")).drop("_later")
