@@ -81,6 +81,19 @@ def test_clusters(spark):
     assert {(r.session_id, r.emb_id): r.cluster for r in out.collect()} == {**{("s", i): i % 2 for i in range(6)}, ("t", 10): 0}
 
 
+def test_large_sessions_are_clustered_by_the_same_rule(spark):
+    rng = np.random.default_rng(5)
+    rows = [(s, 1_000 * n + i, rng.choice([None, int(rng.integers(50))]), rng.normal(size=3).tolist()) for n, s in enumerate("abc") for i in range(300)]
+    rows += [("same", 5_000 + i, i, [1.0, 2.0]) for i in range(60)] + [("few", 6_000 + i, i, [float(i), 1.0]) for i in range(2)]
+    rows += [("mixed", 7_000 + i, i, [1.0, float(i)] if i % 3 else [1.0]) for i in range(60)] + [("zero", 8_000 + i, i, [0.0, float(i == 40)]) for i in range(60)]
+    df = spark.createDataFrame(rows + rows[:100], "session_id string, emb_id long, start_ms long, vector array<double>").repartition(3)
+    clusters = lambda k, most: {(r.session_id, r.emb_id): r.cluster for r in cluster_sessions(df, k, most).collect()}
+    for k in (1, 3, 5):
+        assert clusters(k, 50) == clusters(k, 1_000) and clusters(k, 1) == clusters(k, 1_000)
+    with pytest.raises(Exception, match="most_items"):
+        cluster_sessions(df, None, 50).collect()
+
+
 def test_packing():
     assert pack_lines(None) == pack_lines("") == []
     text = "\n".join(f"Sentence number {i}." for i in range(3000))

@@ -180,9 +180,13 @@ def cluster_sessions(embeddings: DataFrame, k: int | None = None, most_items: in
 
     Vectors that are null, empty or of another length than the session's first are
     left out; copies by emb_id count once; order is that of start_ms and emb_id.
-    All vectors of a session meet in one task, as their order decides; their number
-    is checked there, and a session of more than most_items is refused.
+    All vectors of a session meet in one task, up to most_items of them. With k,
+    larger sessions are clustered by the same rule in passes over distributed rows
+    (see kmeans.spread_kmeans); they are found by one count, copies included, and
+    there are at most one per most_items rows. Without k they are refused, as
+    agglomeration compares all pairs of a session.
     """
+    from voxloom.operators.kmeans import spread_kmeans
 
     def label(frame: pd.DataFrame) -> pd.DataFrame:
         if len(frame) > most_items:
@@ -194,5 +198,9 @@ def cluster_sessions(embeddings: DataFrame, k: int | None = None, most_items: in
         found = np.zeros(len(x), np.int64) if len(x) < 2 else kmeans_labels(x, k) if k else agglomerate_labels(x)
         return pd.DataFrame({"session_id": frame["session_id"], "emb_id": frame["emb_id"], "cluster": found})
 
-    rows = embeddings.where((F.size("vector") > 0) & F.col("session_id").isNotNull()).dropDuplicates(["emb_id"])
-    return rows.select("session_id", "emb_id", "start_ms", "vector").groupBy("session_id").applyInPandas(label, "session_id string, emb_id long, cluster long")
+    usable = embeddings.where((F.size("vector") > 0) & F.col("session_id").isNotNull())
+    rows = usable.dropDuplicates(["emb_id"]).select("session_id", "emb_id", "start_ms", "vector")
+    large = [r["session_id"] for r in usable.groupBy("session_id").count().where(F.col("count") > most_items).collect()] if k else []
+    small = rows.where(~F.col("session_id").isin(large)) if large else rows
+    out = small.groupBy("session_id").applyInPandas(label, "session_id string, emb_id long, cluster long")
+    return out.unionByName(spread_kmeans(rows.where(F.col("session_id").isin(large)), k)) if large else out
