@@ -1,4 +1,6 @@
+import itertools
 import os
+import random
 
 import pytest
 
@@ -45,6 +47,23 @@ def test_names():
     assert p.who("Zed") is None and p.who("Speaker 99") == 98
 
 
+def test_names_of_many_parts():
+    long = "Anna Berta Clara Dora Emma Frida Greta Hanna Irma Lindqvist"
+    p = Persons({0: long, 1: "A. B. C. D. E. F. G. H. I. Lindqvist", 2: long.replace("Lindqvist", "Lindqvits"), 3: "Otto Lindqvist"})
+    assert p.persons == {0: 0, 1: 0, 2: 0, 3: 3} and p.who("Anna B. Lindqvist") == 0
+    assert not fits(name_parts(long), name_parts(long.replace("Dora", "Vera")))
+    assert fits(tuple("a" * 25 + "b"), tuple("a" * 25 + "b")) and not fits(tuple("a" * 25 + "c"), tuple("a" * 25 + "b"))
+
+
+def test_fits_finds_a_placing_if_there_is_one():
+    rng, parts = random.Random(1), ["a", "b", "anna", "anne", "annie", "bert", "berta", "brta"]
+    one = lambda x, y: x[0] == y[0] if 1 in (len(x), len(y)) else one_slip(x, y)
+    for _ in range(2_000):
+        a, b = (tuple(sorted(rng.choices(parts, k=rng.randint(2, 5)))) for _ in range(2))
+        less, more = sorted((a, b), key=len)
+        assert fits(a, b) == any(all(map(one, less, p)) for p in itertools.permutations(more, len(less)))
+
+
 def brute(segments, labels, intervals):
     persons = {}
     for s in {x[0] for x in segments}:

@@ -61,10 +61,27 @@ def fits(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
     if len(a) == 1:
         return any(one_slip(a[0], x) for x in b)
 
-    def place(i: int, free: tuple[int, ...]) -> bool:
-        return i == len(a) or any(_part_fits(a[i], b[j]) and place(i + 1, tuple(x for x in free if x != j)) for j in free)
-
-    return bool(a) and len(b) <= 8 and place(0, tuple(range(len(b))))
+    place: dict[int, int] = {}  # of each part of a, the part of b that it fits
+    taken: dict[int, int] = {}
+    for i in range(len(a)):
+        came: dict[int, int] = {}
+        queue, free = [i], None
+        for x in queue:
+            for j, part in enumerate(b):
+                if j not in came and _part_fits(a[x], part):
+                    came[j] = x
+                    if j not in taken:
+                        free = j
+                        break
+                    queue.append(taken[j])
+            if free is not None:
+                break
+        if free is None:
+            return False
+        while free is not None:  # parts along the path move on to their next place
+            x = came[free]
+            taken[free], place[x], free = x, free, place.get(x)
+    return bool(a)
 
 
 def _rank(parts: tuple[str, ...]) -> int:
