@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOUR_MS = 3_600_000
+#: Widths of slices, from the first on; an interval lies in slices of the first width that is at least a quarter of its length.
+WIDTHS = (60_000, 3_600_000, 86_400_000)
 
 
 def overlap_ms(start: str | Column, end: str | Column, other_start: str | Column, other_end: str | Column) -> Column:
@@ -13,27 +16,41 @@ def overlap_ms(start: str | Column, end: str | Column, other_start: str | Column
     return F.greatest(F.least(end, other_end) - F.greatest(start, other_start), F.lit(0))
 
 
-def overlap_by_speaker(segments: DataFrame, intervals: DataFrame, width: int = HOUR_MS) -> DataFrame:
+def overlap_by_speaker(segments: DataFrame, intervals: DataFrame, widths: Sequence[int] = WIDTHS) -> DataFrame:
     """(seg_id, speaker_id, common): how long each speaker's intervals overlap each segment, if at all.
 
-    Both sides are cut at multiples of width and joined on (session, slice), so
-    neither a long interval nor a hot session makes more pairs than fall into one
-    slice. Rows without positive length or with nulls don't count, and copies of
-    a segment or interval, by their ids, count once.
+    Rows without positive length or with nulls don't count, and copies of a segment
+    or interval, by their ids, count once.
+
+    Both sides are cut at multiples of a width and joined on (session, slice). An
+    interval is cut at one width that suits its length, a segment at each, so a
+    long interval has few slices, a slice of short ones holds few pairs, and a
+    hot session is spread over its slices. A pair is counted in the slice in which
+    its common part begins.
     """
 
-    def cut(df: DataFrame) -> DataFrame:
-        df = df.where(F.col("end_ms") > F.col("start_ms"))
-        return df.withColumn("_slice", F.explode(F.expr(f"sequence(start_ms div {int(width)}, (end_ms - 1) div {int(width)})")))
+    def slices(start: str, end: str, width: int) -> Column:
+        return F.expr(f"sequence(({start} - pmod({start}, {width})) div {width}, ({end} - 1 - pmod({end} - 1, {width})) div {width})")
+
+    def cut(df: DataFrame, at: Column) -> DataFrame:
+        return df.where(F.col("end_ms") > F.col("start_ms")).withColumn("_at", F.explode(at))
+
+    def levels(level: int) -> Column:
+        return F.transform(slices("start_ms", "end_ms", widths[level]), lambda x: F.struct(F.lit(level).alias("level"), x.alias("slice")))
 
-    left = cut(segments.select("session_id", "seg_id", "start_ms", "end_ms"))
+    all_levels = F.concat(*[levels(n) for n in range(len(widths))])
+    length, suited = F.col("end_ms") - F.col("start_ms"), levels(len(widths) - 1)
+    for n in range(len(widths) - 2, -1, -1):
+        suited = F.when(length <= 4 * widths[n], levels(n)).otherwise(suited)
+    left = cut(segments.select("session_id", "seg_id", "start_ms", "end_ms"), all_levels)
     right = intervals.where(F.col("speaker_id").isNotNull()).select("session_id", "interval_id", "start_ms", "end_ms", "speaker_id")
-    right = cut(right).withColumnsRenamed({"start_ms": "s", "end_ms": "e"})
-    pairs = left.join(right, ["session_id", "_slice"]).where((F.col("s") < F.col("end_ms")) & (F.col("e") > F.col("start_ms")))
-    low, high = F.col("_slice") * width, (F.col("_slice") + 1) * width
-    common = F.least("end_ms", "e", high) - F.greatest("start_ms", "s", low)
-    pairs = pairs.groupBy("seg_id", "interval_id", "speaker_id", "_slice").agg(F.max(common).alias("common"))
-    return pairs.groupBy("seg_id", "speaker_id").agg(F.sum("common").alias("common")).where("common > 0")
+    right = cut(right, suited).withColumnsRenamed({"start_ms": "s", "end_ms": "e"})
+    begins = F.greatest("start_ms", "s")
+    width = F.element_at(F.array(*[F.lit(w) for w in widths]), F.col("_at.level") + 1)
+    pairs = left.join(right, ["session_id", "_at"]).where((F.col("s") < F.col("end_ms")) & (F.col("e") > F.col("start_ms")))
+    pairs = pairs.where((begins - F.pmod(begins, width)) == F.col("_at.slice") * width)
+    pairs = pairs.groupBy("seg_id", "interval_id", "speaker_id").agg(F.max(overlap_ms("start_ms", "end_ms", "s", "e")).alias("common"))
+    return pairs.groupBy("seg_id", "speaker_id").agg(F.sum("common").alias("common"))
 
 
 def assign_speaker(segments: DataFrame, intervals: DataFrame, contest: float = 0.75) -> DataFrame:

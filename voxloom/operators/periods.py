@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.operators.scan import carried_max
+from voxloom.operators.scan import SLICE_MS, earlier, slice_of
 
 HOUR_MS = 3_600_000
 
@@ -18,7 +18,7 @@ def periods_and_gaps(
     start: str = "start_ms",
     end: str = "end_ms",
     max_gap: int | None = HOUR_MS,
-    bucket_width: int = HOUR_MS,
+    bucket_width: int = SLICE_MS,
 ) -> DataFrame:
     """Merge overlapping or touching intervals per entity and list the gaps.
 
@@ -32,14 +32,15 @@ def periods_and_gaps(
     labels islands cumulatively. The running maximum is taken in two levels, per
     bucket of bucket_width and then over buckets, so a hot entity spreads over
     as many tasks as it has buckets. In a bucket, equal starts are folded first,
-    which bounds its rows by bucket_width whatever the number of repeats.
+    which bounds its rows by bucket_width whatever the number of repeats; the
+    number of buckets is bounded by the stretch of time that an entity covers.
     """
     keys = list(keys)
     k, s, e = [f"_k{i}" for i in range(len(keys))], "_s", "_e"
     rows = df.select(*[F.col(c).alias(a) for c, a in zip(keys, k)], F.col(start).cast("long").alias(s), F.col(end).cast("long").alias(e))
     for c in k:
         rows = rows.where(F.col(c).isNotNull())
-    rows = rows.where(F.col(s).isNotNull() & (F.col(e) > F.col(s))).withColumn("_b", F.expr(f"_s div {int(bucket_width)}"))
+    rows = rows.where(F.col(s).isNotNull() & (F.col(e) > F.col(s))).withColumn("_b", slice_of(s, bucket_width))
     rows = rows.repartition(*k, "_b").groupBy(*k, "_b", s).agg(F.max(e).alias(e))
 
     order = Window.partitionBy(*k, "_b").orderBy(s)
@@ -51,9 +52,10 @@ def periods_and_gaps(
     )
 
     buckets = local.groupBy(*k, "_b").agg(F.max(e).alias("_me"), F.max(s).alias("_ls"))
-    buckets = carried_max(buckets, k, "_b", {"_me": "_carry"})
+    axis = earlier(Window.partitionBy(*k).orderBy("_b"))
+    buckets = buckets.withColumn("_carry", F.max("_me").over(axis))
     opened = F.when(F.col("_carry").isNull() | (F.col("_ls") > F.col("_carry")), F.col("_ls"))
-    buckets = carried_max(buckets.withColumn("_open", opened), k, "_b", {"_open": "_label_in"})
+    buckets = buckets.withColumn("_label_in", F.max(opened).over(axis))
 
     joined = local.join(buckets.select(*k, "_b", "_carry", "_label_in"), [*k, "_b"])
     head = F.col("_carry").isNull() | (F.col(s) > F.col("_carry"))

@@ -1,93 +1,129 @@
 """Running values along an ordered axis without one task per group.
 
 A window over a group sorts the whole group in one task, which fails once a
-group holds a large part of all rows. The functions here work in levels: rows
-are summarised per bucket of the axis, the summaries are scanned, and only the
-value carried into each bucket goes back to the rows.
+group holds a large part of all rows. Here an axis is cut into slices: rows are
+partitioned once by (group, slice) and windows run within a slice; of each slice
+its first and last row, with their running values, form a small table, in which
+values pass from slice to slice; what a slice gets from those before it is joined
+back to its rows. The number of slices of a group depends on the stretch of the
+axis it covers, not on its rows, and a slice has at most width places.
+
+Both branches, rows and ends of slices, use the same columns of the same
+partitioned rows, so Spark reads the input once and reuses the exchange.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-#: Buckets of one level that make one bucket of the next.
-FAN_IN = 4096
+#: Width of a slice of time: a century has 146,100 of them.
+SLICE_MS = 21_600_000
+SALTS = 16
 
 
-def carried_max(df: DataFrame, keys: Sequence[str], bucket: str, columns: dict[str, str], fan_in: int = FAN_IN) -> DataFrame:
-    """Add for each (keys, bucket) row the largest value of all earlier buckets.
+def slice_of(at: str, width: int) -> Column:
+    """The number of the slice that at lies in, exact for all integers; 0 for null, as a join on what can't be null infers no filter, which would keep exchanges from being reused."""
+    return F.expr(f"coalesce((`{at}` - pmod(`{at}`, {int(width)})) div {int(width)}, 0L)")
 
-    df has one row per (keys, bucket); columns maps value columns to the names
-    of their carried maxima (null where there is no earlier value). Two levels:
-    a window over at most fan_in buckets each, and one over the groups of
-    buckets, so that a key may hold fan_in * fan_in buckets before a task sees
-    more than fan_in rows.
+
+def sliced(df: DataFrame, keys: Sequence[str], at: str, width: int = SLICE_MS) -> DataFrame:
+    """df with _slice, the stretch of width along at, partitioned by (keys, _slice)."""
+    return df.withColumn("_slice", slice_of(at, width)).repartition(*keys, "_slice")
+
+
+def once(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per keys, which rows must be partitioned by: of several the largest. Unlike dropDuplicates, copies of the plan reuse exchanges above it."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_rest"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"_rest.`{c}`").alias(c) for c in rows.columns])
+
+
+def along(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
+    """The rows of a slice in order."""
+    return Window.partitionBy(*keys, "_slice").orderBy(*order)
+
+
+def up_to(window: WindowSpec) -> WindowSpec:
+    return window.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def carried(rows: DataFrame, keys: Sequence[str], order: Sequence[str], steps: Sequence[dict[str, Callable[[WindowSpec], Column]]], keep: Sequence[str]) -> DataFrame:
+    """rows of sliced(), with the columns keep that their slice gets from the others.
+
+    The table of slices has _first and _last, structs of all columns of rows of the
+    first and last row by order. steps add columns to it one after the other, each
+    from the window over the slices of a group in order: its lag is the slice
+    before, aggregates need a frame (earlier() or throughout()).
     """
     keys = list(keys)
-    top = df.withColumn("_sb", F.floor(F.col(bucket) / fan_in))
-    sums = top.groupBy(*keys, "_sb").agg(*[F.max(c).alias(f"_s_{c}") for c in columns])
-    before = Window.partitionBy(*keys).orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "_sb", *[F.max(f"_s_{c}").over(before).alias(f"_c_{c}") for c in columns])
-    inner = Window.partitionBy(*keys, "_sb").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    top = top.withColumns({f"_i_{c}": F.max(c).over(inner) for c in columns})
-    out = top.join(sums, [*keys, "_sb"])
-    return out.withColumns({name: F.greatest(f"_i_{c}", f"_c_{c}") for c, name in columns.items()}).drop(
-        "_sb", *[f"_i_{c}" for c in columns], *[f"_c_{c}" for c in columns]
-    )
-
-
-def carried_sum(df: DataFrame, keys: Sequence[str], bucket: str, columns: dict[str, str], fan_in: int = FAN_IN) -> DataFrame:
-    """Add for each (keys, bucket) row the sum of all earlier buckets, 0 for the first; two levels as in carried_max."""
-    keys = list(keys)
-    top = df.withColumn("_sb", F.floor(F.col(bucket) / fan_in))
-    sums = top.groupBy(*keys, "_sb").agg(*[F.sum(c).alias(f"_s_{c}") for c in columns])
-    before = Window.partitionBy(*keys).orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "_sb", *[F.sum(f"_s_{c}").over(before).alias(f"_c_{c}") for c in columns])
-    inner = Window.partitionBy(*keys, "_sb").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    top = top.withColumns({f"_i_{c}": F.sum(c).over(inner) for c in columns})
-    out = top.join(sums, [*keys, "_sb"])
-    return out.withColumns({name: F.coalesce(f"_i_{c}", F.lit(0)) + F.coalesce(f"_c_{c}", F.lit(0)) for c, name in columns.items()}).drop(
-        "_sb", *[f"_i_{c}" for c in columns], *[f"_c_{c}" for c in columns]
-    )
-
-
-def sliced(df: DataFrame, keys: Sequence[str], at: str, width: int) -> DataFrame:
-    """df with _slice, the stretch of width along at, partitioned by (keys, _slice)."""
-    return df.withColumn("_slice", F.floor(F.col(at) / width)).repartition(*keys, "_slice")
+    row, place = F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.struct(*order)
+    slices = rows.groupBy(*keys, "_slice").agg(F.min_by(row, place).alias("_first"), F.max_by(row, place).alias("_last"))
+    window = Window.partitionBy(*keys).orderBy("_slice")
+    for step in steps:
+        slices = slices.withColumns({name: column(window) for name, column in step.items()})
+    return rows.join(slices.select(*keys, "_slice", *keep), [*keys, "_slice"])
 
 
-def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str]) -> DataFrame:
+def earlier(window: WindowSpec) -> WindowSpec:
+    """All rows before this one."""
+    return window.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def throughout(window: WindowSpec) -> WindowSpec:
+    """All rows."""
+    return window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def running_sum(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Add the sum of value up to and with each row of sliced rows, along order, also across slices."""
+    rows = rows.withColumn("_own", F.coalesce(F.sum(value).over(up_to(along(keys, order))), F.lit(0)))
+    steps = [{"_before": lambda w: F.coalesce(F.sum("_last._own").over(earlier(w)), F.lit(0))}]
+    return carried(rows, keys, order, steps, ["_before"]).withColumn(name, F.col("_own") + F.col("_before")).drop("_own", "_before")
+
+
+def previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str]) -> DataFrame:
     """Add the values of the row before, along order, of sliced rows; also across slices, null at the start."""
-    keys = list(keys)
-    w = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    packed = F.struct(*columns)
-    rows = df.withColumn("_lag", F.lag(packed).over(w))
-    ends = df.groupBy(*keys, "_slice").agg(F.max_by(packed, F.struct(*order)).alias("_end"))
-    ends = ends.withColumn("_tagged", F.struct(F.col("_slice"), F.col("_end")))
-    ends = carried_max(ends.select(*keys, "_slice", "_tagged"), keys, "_slice", {"_tagged": "_before"}).select(*keys, "_slice", F.col("_before._end").alias("_before"))
-    rows = rows.join(ends, [*keys, "_slice"])
-    one = F.coalesce("_lag", "_before")
-    return rows.withColumns({name: one[c] for c, name in columns.items()}).drop("_lag", "_before")
-
-
-def last_start(df: DataFrame, keys: Sequence[str], order: Sequence[str], starts: str, name: str) -> DataFrame:
-    """Add the order values, as a struct, of the last row up to this one for which starts is true; also across slices."""
-    keys = list(keys)
-    w = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    mark = F.when(F.col(starts), F.struct(*order))
-    rows = df.withColumn("_own", F.max(mark).over(w))
-    ends = df.groupBy(*keys, "_slice").agg(F.max(mark).alias("_end"))
-    ends = carried_max(ends, keys, "_slice", {"_end": "_before"}).select(*keys, "_slice", "_before")
-    return rows.join(ends, [*keys, "_slice"]).withColumn(name, F.coalesce("_own", "_before")).drop("_own", "_before")
+    rows = rows.withColumn("_lag", F.lag(F.struct(*columns)).over(along(keys, order)))
+    steps = [{"_before": lambda w: F.lag(F.struct(*[F.col(f"_last.`{c}`").alias(c) for c in columns])).over(w)}]
+    out = carried(rows, keys, order, steps, ["_before"])
+    return out.withColumns({name: F.coalesce("_lag", "_before")[c] for c, name in columns.items()}).drop("_lag", "_before")
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
-    """Add the sum of value up to and with each row, along order, also across slices."""
-    keys = list(keys)
-    w = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("_own", F.sum(value).over(w))
-    ends = carried_sum(df.groupBy(*keys, "_slice").agg(F.sum(value).alias("_end")), keys, "_slice", {"_end": "_before"}).select(*keys, "_slice", "_before")
-    return rows.join(ends, [*keys, "_slice"]).withColumn(name, F.coalesce("_own", F.lit(0)) + F.col("_before")).drop("_own", "_before")
+def runs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], starts: Callable[[Column, Column], Column], name: str, place: str) -> DataFrame:
+    """Add name, the order values, as a struct, of the last row up to this one that starts a run, and place, the number of rows between; also across slices.
+
+    starts(before, row) tells from the structs of the row before and a row whether
+    the latter starts a run; a first row does.
+    """
+    w = along(keys, order)
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    rows = rows.withColumns({"_new": F.when(F.lag(F.lit(1)).over(w).isNotNull(), starts(F.lag(row).over(w), row)), "_n": F.row_number().over(w).cast("long")})
+    rows = rows.withColumn("_own", F.max(F.when(F.col("_new"), F.struct(*order, "_n"))).over(up_to(w)))  # _new is null in a slice's first row
+
+    def put(source: str, n: Column) -> Column:
+        return F.struct(*[F.col(f"{source}.`{c}`").alias(c) for c in order], n.alias("_n"))
+
+    steps = [
+        {"_prev": lambda w: F.lag("_last").over(w), "_base": lambda w: F.coalesce(F.sum("_last._n").over(earlier(w)), F.lit(0))},
+        {"_head": lambda w: F.when(F.col("_prev").isNull() | starts(F.col("_prev"), F.col("_first")), put("_first", F.col("_base") + 1))},
+        {"_tail": lambda w: F.when(F.col("_last._own").isNotNull(), put("_last._own", F.col("_base") + F.col("_last._own._n")))},
+        {"_in": lambda w: F.coalesce("_head", F.max(F.coalesce("_tail", "_head")).over(earlier(w)))},
+    ]
+    rows = carried(rows, keys, order, steps, ["_base", "_in"])
+    start = F.coalesce(F.when(F.col("_own").isNotNull(), put("_own", F.col("_base") + F.col("_own._n"))), F.col("_in"))
+    rows = rows.withColumn("_start", start).withColumns({name: F.struct(*[F.col(f"_start.`{c}`").alias(c) for c in order]), place: F.col("_base") + F.col("_n") - F.col("_start._n")})
+    return rows.drop("_new", "_n", "_own", "_base", "_in", "_start")
+
+
+def salted_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], by: str | Column, how: str = "left", salts: int = SALTS) -> DataFrame:
+    """rows joined with lookup on keys, where a key may hold a large part of rows.
+
+    Rows of a key are spread over salts tasks by the hash of by, and lookup, which
+    should have few rows a key, is repeated for each.
+    """
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    right = lookup.withColumn("_salt", F.explode(F.array(*[F.lit(n) for n in range(salts)])))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")

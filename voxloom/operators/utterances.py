@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.text import blank, format_srt, format_time, format_time_short, trim_white
-from voxloom.operators.scan import previous, running_sum, sliced, last_start
+from voxloom.operators.scan import SLICE_MS, along, carried, once, runs, running_sum, salted_join, sliced, throughout, up_to
 
-HOUR_MS = 3_600_000
 K = ["session_id"]
 ORDER = ["start_ms", "seg_id"]
 TERMINATORS = "。!?…."  # fixed values: signs after which an utterance ends
@@ -22,84 +23,168 @@ def ends_sentence(text: str | Column, signs: str = TERMINATORS) -> Column:
     return F.coalesce(F.right(F.col(text) if isinstance(text, str) else text, F.lit(1)).isin(*signs), F.lit(False))
 
 
-def _fold(max_duration: int, max_chars: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for session, parts in zip(frame["session_id"], frame["parts"]):
-                now: list | None = None
-                for p in parts:
-                    if now and max(p["end_ms"] - now[2], 0) <= max_duration and len(now[5]) + len(p["text"]) <= max_chars:
-                        now[3], now[5], now[6] = p["end_ms"], now[5] + p["text"], now[6] or bool(p["overlapped"])
-                        continue
-                    if now:
-                        out.append(now)
-                    now = [session, p["seg_id"], p["start_ms"], p["end_ms"], p["speaker_id"], p["text"], bool(p["overlapped"])]
-                if now:
-                    out.append(now)
-            yield pd.DataFrame(out, columns=["session_id", "first_seg", "start_ms", "end_ms", "speaker_id", "text", "overlapped"]).astype({"speaker_id": "Int64"})
-
-    return run
-
-
-def merge_utterances(segments: DataFrame, max_gap: int = 2500, max_duration: int = 60_000, max_chars: int = 200, width: int = HOUR_MS) -> DataFrame:
+BLOCK = 4096  # segments of a run that are folded at once
+
+_UTTERANCE = "session_id string, first_seg long, start_ms long, end_ms long, speaker_id long, text string, overlapped boolean"
+
+
+class Caps:
+    """Greedy utterances of segments that follow each other in a run: as long and as wordy as allowed."""
+
+    def __init__(self, max_duration: int, max_chars: int):
+        self.max_duration, self.max_chars = max_duration, max_chars
+
+    def ends(self, starts: list[int], ends: list[int], sizes: list[int], first: int, single: bool) -> list[int]:
+        """For a segment, where an utterance that begins there ends; for all, or only for those that one from first on leads to (single)."""
+        out, n, at = [0] * len(starts), len(starts), first
+        while at < n:
+            end, size, start = at + 1, sizes[at], starts[at]
+            while end < n and ends[end] - start <= self.max_duration and size + sizes[end] <= self.max_chars:
+                size += sizes[end]
+                end += 1
+            out[at] = end
+            at = end if single else at + 1
+        return out
+
+    def utterances(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Those of each block (session_id, speaker_id, parts, entry, own) from entry on that begin among its own segments."""
+        for batch in batches:
+            session, speaker, parts, entries, owns = (batch.column(i) for i in range(5))
+            offsets, flat = parts.offsets.to_pylist(), parts.values
+            seg, start, end, text, over = (flat.field(n).to_pylist() for n in ("seg_id", "start_ms", "end_ms", "text", "overlapped"))
+            sizes = pc.utf8_length(flat.field("text")).to_pylist()
+            at, rows = [], []
+            for n, (entry, own) in enumerate(zip(entries.to_pylist(), owns.to_pylist())):
+                a, b = offsets[n], offsets[n + 1]
+                until = self.ends(start[a:b], end[a:b], sizes[a:b], entry, True)
+                while entry < min(own, b - a):
+                    x, y = a + entry, a + until[entry]
+                    at.append(n)
+                    rows.append((seg[x], start[x], end[y - 1], "".join(text[x:y]), any(over[x:y])))
+                    entry = until[entry]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))]
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([session.take(at), *columns[:3], speaker.take(at), *columns[3:]], [f.split()[0] for f in _UTTERANCE.split(", ")])
+
+    def exits(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each block, for an utterance that begins at each of its first max_chars segments, where one begins in the next block."""
+        for batch in batches:
+            parts, found = batch.column(3), []
+            offsets, flat = parts.offsets.to_pylist(), parts.values
+            start, end = (flat.field(n).to_pylist() for n in ("start_ms", "end_ms"))
+            sizes = pc.utf8_length(flat.field("text")).to_pylist()
+            for n, own in enumerate(batch.column(4).to_pylist()):
+                a, b = offsets[n], offsets[n + 1]
+                until = self.ends(start[a:b], end[a:b], sizes[a:b], 0, False)
+                here = min(own, b - a)
+                for i in range(here - 1, -1, -1):
+                    until[i] = until[until[i]] if until[i] < here else until[i]
+                found.append([x - own for x in until[: self.max_chars]])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(found, pa.list_(pa.int64()))], ["session_id", "_run", "_block", "exits"])
+
+
+def _entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks in order: the entry of each follows from that of the one before."""
+    now, entry = None, 0
+    for frame in frames:
+        found = []
+        for session, run, exits in zip(frame["session_id"], frame["_run"], frame["exits"]):
+            run = (session, tuple(run.values()) if isinstance(run, dict) else tuple(run))
+            now, entry = run, entry if run == now else 0
+            found.append(entry)
+            entry = int(exits[entry]) if entry < len(exits) else 0
+        yield frame[["session_id", "_run", "_block"]].assign(entry=found)
+
+
+def merge_utterances(
+    segments: DataFrame, max_gap: int = 2500, max_duration: int = 60_000, max_chars: int = 200, width: int = SLICE_MS, block: int = BLOCK
+) -> DataFrame:
     """(session_id, first_seg, start_ms, end_ms, speaker_id, text, overlapped): consecutive segments of one speaker joined.
 
-    Segments, once per seg_id, are taken by start_ms and seg_id; those with blank
-    or null text, or a null start, are skipped, a null end counts as the start. A
-    segment joins the utterance before it if the speaker is the same (null equals
-    null), it starts less than max_gap after its end, the whole lasts at most
-    max_duration and has at most max_chars characters, and the text so far ends in
-    none of TERMINATORS. Texts are joined without a separator.
+    Segments, once per session, start and seg_id, are taken by start_ms and seg_id;
+    those with blank or null text, or a null start, are skipped, a null end counts
+    as the start. A segment joins the utterance before it if the speaker is the
+    same (null equals null), it starts less than max_gap after its end, the whole
+    lasts at most max_duration and has at most max_chars characters, and the text
+    so far ends in none of TERMINATORS. Texts are joined without a separator.
 
     Speaker, gap and terminator depend on the segment before only. They cut a
-    session into runs, found along slices of time, so a hot session is spread; the
-    caps, which depend on all of an utterance, are then applied within each run.
+    session into runs, found along slices of time, so a hot session is spread. The
+    caps depend on all of an utterance; they are applied to blocks of a run. A run
+    of more than one block, say an hour without pause or full stop, is folded block
+    by block: each block, with the max_chars segments behind it, tells where an
+    utterance that enters it at any place leaves it, which gives the place where
+    each block is entered. So no task holds more than a block of a run.
     """
-    rows = segments.where(F.col("start_ms").isNotNull() & F.col("session_id").isNotNull() & ~blank("text")).dropDuplicates(["seg_id"])
+    block = max(block, max_chars)
+    rows = segments.where(F.col("start_ms").isNotNull() & F.col("session_id").isNotNull() & ~blank("text"))
     rows = rows.select(*K, *ORDER, F.coalesce("end_ms", "start_ms").alias("end_ms"), "speaker_id", "text", F.coalesce("overlapped", F.lit(False)).alias("overlapped"))
-    rows = sliced(rows.withColumn("_ends", ends_sentence("text")), K, "start_ms", width)
-    rows = previous(rows, K, ORDER, {"speaker_id": "_speaker", "end_ms": "_end", "_ends": "_stop"})
-    goes_on = F.col("speaker_id").eqNullSafe(F.col("_speaker")) & (F.greatest(F.col("start_ms") - F.col("_end"), F.lit(0)) < max_gap) & ~F.col("_stop")
-    rows = rows.withColumn("_new", ~F.coalesce(F.col("_end").isNotNull() & goes_on, F.lit(False)))
-    rows = last_start(rows, K, ORDER, "_new", "_run")
-    parts = F.array_sort(F.collect_list(F.struct(*ORDER, "end_ms", "speaker_id", "text", "overlapped")))
-    runs = rows.groupBy(*K, "_run").agg(parts.alias("parts"))
-    schema = "session_id string, first_seg long, start_ms long, end_ms long, speaker_id long, text string, overlapped boolean"
-    return runs.select("session_id", "parts").mapInPandas(_fold(max_duration, max_chars), schema)
-
-
-def numbered(utterances: DataFrame, name: str = "utt_no", width: int = HOUR_MS) -> DataFrame:
+    rows = once(sliced(rows, K, "start_ms", width), [*K, "_slice", *ORDER])
+
+    def starts(before: Column, row: Column) -> Column:
+        near = F.greatest(row["start_ms"] - before["end_ms"], F.lit(0)) < max_gap
+        # Cases rather than a disjunction of three, whose order differs between copies of a plan, so that exchanges would not be reused.
+        return F.when(~row["speaker_id"].eqNullSafe(before["speaker_id"]), True).when(near, ends_sentence(before["text"])).otherwise(True)
+
+    rows = runs(rows, K, ORDER, starts, "_run", "_place")
+    own = F.expr(f"_place div {block}")
+    both = F.when((own > 0) & (F.col("_place") % block < max_chars), F.array(own, own - 1)).otherwise(F.array(own))
+    parts = F.array_sort(F.collect_list(F.struct("_place", "seg_id", "start_ms", "end_ms", "text", "overlapped")))
+    blocks = rows.withColumn("_block", F.explode(both)).groupBy(*K, "_run", "_block").agg(F.max("speaker_id").alias("speaker_id"), parts.alias("parts"), F.max("_place").alias("_upto"))
+    whole = F.greatest(F.col("_block") * block, F.col("_upto")) < block  # of a run of one block
+
+    caps = Caps(max_duration, max_chars)
+    short = blocks.where(whole).select("session_id", "speaker_id", "parts", F.lit(0).cast("long").alias("entry"), F.lit(block).cast("long").alias("own"))
+    long = blocks.where(~whole)
+    run_type = long.schema["_run"].dataType.simpleString()
+    # All three branches read the same exchange: the same columns, and a join that infers no filter.
+    exits = long.select(*K, "_run", "_block", "parts", F.lit(block).cast("long").alias("own"), "speaker_id").mapInArrow(caps.exits, f"session_id string, _run {run_type}, _block long, exits array<long>")
+    exits = exits.repartition(*K, "_run").sortWithinPartitions(*K, "_run", "_block")
+    entries = exits.mapInPandas(_entries, f"session_id string, _run {run_type}, _block long, entry long")
+    entries = entries.select(F.struct(*K, "_run", "_block").alias("_at"), "entry")
+    long = long.join(entries, F.struct(*K, "_run", "_block").eqNullSafe(F.col("_at"))).select("session_id", "speaker_id", "parts", "entry", F.lit(block).cast("long").alias("own"))
+    return short.mapInArrow(caps.utterances, _UTTERANCE).unionByName(long.mapInArrow(caps.utterances, _UTTERANCE))
+
+
+def numbered(utterances: DataFrame, name: str = "utt_no", width: int = SLICE_MS) -> DataFrame:
     """Utterances with their number in the session, from 1."""
     rows = sliced(utterances.withColumn("_one", F.lit(1).cast("long")), K, "start_ms", width)
     return running_sum(rows, K, ["start_ms", "first_seg"], "_one", name).drop("_one", "_slice")
 
 
-def with_names(df: DataFrame, labels: DataFrame, word: str = "说话人", unknown: str | None = None) -> DataFrame:
-    """df with name: that of the highest labels_version, else word and the id counted from 1; unknown for a null id."""
-    top = labels.groupBy("session_id").agg(F.max("labels_version").alias("labels_version"))
-    named = labels.join(top, ["session_id", "labels_version"]).groupBy("session_id", "speaker_id").agg(F.max("display_name").alias("_name"))
-    out = df.join(named, ["session_id", "speaker_id"], "left")
+def newest_labels(labels: DataFrame) -> DataFrame:
+    """(session_id, speaker_id, display_name) of the highest labels_version of each session."""
+    versions = labels.groupBy("session_id", "labels_version", "speaker_id").agg(F.max("display_name").alias("display_name"))
+    newest = F.max("labels_version").over(Window.partitionBy("session_id"))
+    return versions.withColumn("_v", newest).where("labels_version = _v").select("session_id", "speaker_id", "display_name")
+
+
+def with_names(df: DataFrame, labels: DataFrame, word: str = "说话人", unknown: str | None = None, by: str = "session_id") -> DataFrame:
+    """df with name: that of the highest labels_version, else word and the id counted from 1; unknown for a null id.
+
+    by: a column by which rows of a hot session are spread.
+    """
+    out = salted_join(df, newest_labels(labels).withColumnRenamed("display_name", "_name"), ["session_id", "speaker_id"], by)
     default = F.concat(F.lit(word + " "), (F.col("speaker_id") + 1).cast("string"))
     return out.withColumn("name", F.when(F.col("speaker_id").isNull(), F.lit(unknown)).otherwise(F.coalesce("_name", default))).drop("_name")
 
 
 def render_dialogue(utterances: DataFrame, labels: DataFrame) -> DataFrame:
     """(session_id, first_seg, block): '[MM:SS] name:' with a mark for overlap, and the text below; a row per utterance."""
-    rows = with_names(utterances, labels, unknown="—")
+    rows = with_names(utterances, labels, unknown="—", by="first_seg")
     mark = F.when(F.col("overlapped"), F.lit(" ⟂")).otherwise(F.lit(""))
     return rows.select("session_id", "first_seg", F.concat(F.lit("["), format_time_short("start_ms"), F.lit("] "), "name", mark, F.lit(":\n"), trim_white("text")).alias("block"))
 
 
 def render_plain(utterances: DataFrame, labels: DataFrame) -> DataFrame:
     """(session_id, first_seg, block): 'name:text', or the text alone without a speaker."""
-    rows = with_names(utterances, labels)
+    rows = with_names(utterances, labels, by="first_seg")
     return rows.select("session_id", "first_seg", F.concat(F.when(F.col("name").isNull(), F.lit("")).otherwise(F.concat("name", F.lit(":"))), trim_white("text")).alias("block"))
 
 
 def render_srt(utterances: DataFrame, labels: DataFrame) -> DataFrame:
     """(session_id, first_seg, block): numbered SubRip cues."""
-    rows = with_names(numbered(utterances), labels)
+    rows = with_names(numbered(utterances), labels, by="first_seg")
     who = F.when(F.col("name").isNull(), F.lit("")).otherwise(F.concat("name", F.lit(":")))
     times = F.concat(format_srt("start_ms"), F.lit(" --> "), format_srt("end_ms"))
     return rows.select("session_id", "first_seg", F.concat(F.col("utt_no").cast("string"), F.lit("\n"), times, F.lit("\n"), who, trim_white("text")).alias("block"))
@@ -107,7 +192,7 @@ def render_srt(utterances: DataFrame, labels: DataFrame) -> DataFrame:
 
 def render_timeline(segments: DataFrame, labels: DataFrame) -> DataFrame:
     """(session_id, seg_id, block): one line per segment with words, not merged; names are padded to six characters, never cut."""
-    rows = with_names(segments.where(~blank("text")).dropDuplicates(["seg_id"]), labels, unknown="—")
+    rows = with_names(segments.where(~blank("text")).dropDuplicates(["seg_id"]), labels, unknown="—", by="seg_id")
     name = F.when(F.length("name") < 6, F.rpad("name", 6, " ")).otherwise(F.col("name"))
     mark = F.when(F.col("overlapped"), F.lit("⟂")).otherwise(F.lit(" "))
     times = F.concat(F.lit("["), format_time("start_ms"), F.lit(" - "), format_time(F.coalesce("end_ms", "start_ms")), F.lit("] "))
@@ -125,15 +210,27 @@ def repair_timeline(raw: DataFrame, width: int = 1 << 16) -> DataFrame:
     rows = raw.where(~blank("text") & F.col("session_id").isNotNull() & F.col("pos").isNotNull())
     rows = rows.select(*K, "pos", F.greatest(F.coalesce("to_ms", F.lit(0)), F.lit(0)).alias("end_ms"), trim_white("text").alias("text"))
     rows = sliced(rows, K, "pos", width)
-    rows = previous(rows, K, ["pos"], {"end_ms": "_start"}).withColumn("_start", F.coalesce("_start", F.lit(0)))
-    rows = rows.withColumn("_size", F.greatest(F.length("text"), F.lit(1)).cast("long"))
-    whole = rows.groupBy(*K).agg(F.bool_and(F.col("end_ms") > F.col("_start")).alias("_fine"), F.max("end_ms").alias("_all"), F.sum("_size").alias("_sizes"))
-    rows = rows.join(whole, K)
+    order = ["pos"]
+    before = F.lag("end_ms").over(along(K, order))
+    rows = rows.withColumns({"_lag": before, "_size": F.greatest(F.length("text"), F.lit(1)).cast("long")})
+    # _rises: of a slice's rows but the first, whose row before is in another slice.
+    rows = rows.withColumns({
+        "_rises": F.min(F.coalesce(F.col("end_ms") > F.col("_lag"), F.lit(True))).over(up_to(along(K, order))),
+        "_top": F.max("end_ms").over(up_to(along(K, order))), "_many": F.sum("_size").over(up_to(along(K, order))),
+    })
+    steps = [
+        {"_before": lambda w: F.coalesce(F.lag("_last.end_ms").over(w), F.lit(0))},
+        {
+            "_fine": lambda w: F.min(F.col("_last._rises") & (F.col("_first.end_ms") > F.col("_before"))).over(throughout(w)),
+            "_all": lambda w: F.max("_last._top").over(throughout(w)), "_sizes": lambda w: F.sum("_last._many").over(throughout(w)),
+        },
+    ]
+    rows = carried(rows, K, order, steps, ["_before", "_fine", "_all", "_sizes"])
+    rows = rows.select(*K, "_slice", "pos", "end_ms", "text", F.coalesce("_lag", "_before").alias("_start"), "_fine", "_all", "_sizes", "_size")
     share = F.greatest(F.floor(F.col("_size").cast("double") / F.col("_sizes").cast("double") * F.col("_all").cast("double") + 0.5), F.lit(1))
-    rows = running_sum(rows.withColumn("_share", share), K, ["pos"], "_share", "_sum")
+    rows = running_sum(rows.withColumn("_share", share), K, order, "_share", "_sum")
     spread = lambda x: F.least("_all", x)
-    out = rows.where("_all > 0").select(
+    return rows.where("_all > 0").select(
         *K, "pos", F.when(F.col("_fine"), F.col("_start")).otherwise(spread(F.col("_sum") - F.col("_share"))).alias("start_ms"),
         F.when(F.col("_fine"), F.col("end_ms")).otherwise(spread(F.col("_sum"))).alias("end_ms"), "text",
     )
-    return out

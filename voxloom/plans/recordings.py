@@ -116,7 +116,7 @@ def k2_kmeans(spark: SparkSession, d: str) -> DataFrame:
 
 def w4_timeline(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "segments").select("session_id", F.col("seg_id").alias("pos"), F.col("end_ms").alias("to_ms"), "text").distinct()
-    return repair_timeline(rows, 1024).drop("text")
+    return repair_timeline(rows).drop("text")
 
 
 def w6_compact_ids(spark: SparkSession, d: str) -> DataFrame:
