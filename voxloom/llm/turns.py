@@ -5,148 +5,122 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.captions import Line, clean_text
 from voxloom.llm.names import Persons
 from voxloom.operators.overlap import assign_speaker
-from voxloom.operators.scan import carried_max
+from voxloom.operators.scan import SLICE_MS, once, runs, salted_join, sliced
+from voxloom.operators.utterances import newest_labels
 from voxloom.session import materialize
 
 HOUR_MS = 3_600_000
+_LINE = "spoken boolean, names array<string>, words string"
 
 
-def _spoken(text: pd.Series) -> pd.Series:
-    return pd.Series([Line(t).spoken for t in text], dtype=bool)
-
-
-def _head(text: pd.Series) -> pd.DataFrame:
+def _parsed(text: pd.Series) -> pd.DataFrame:
     lines = [Line(t) for t in text]
-    return pd.DataFrame({"spoken": [x.spoken for x in lines], "names": [x.names for x in lines]})
+    return pd.DataFrame({"spoken": [x.spoken for x in lines], "names": [x.names for x in lines], "words": None})
 
 
-def _words(text: pd.Series) -> pd.Series:
-    return pd.Series([clean_text(t, Line(t).body) for t in text], dtype=object)
+def _parsed_words(text: pd.Series) -> pd.DataFrame:
+    lines = [Line(t) for t in text]
+    words = [clean_text(t, x.body) if x.spoken else None for t, x in zip(text, lines)]
+    return pd.DataFrame({"spoken": [x.spoken for x in lines], "names": [x.names for x in lines], "words": words})
 
 
-def has_words(text: str) -> Column:
-    """Whether a segment's text holds spoken words."""
-    return F.pandas_udf(_spoken, "boolean")(text)
+def parsed_line(text: str, with_words: bool = False) -> Column:
+    """Of a segment's text: spoken, whether it holds spoken words, names, the candidates in front of them, and words, cleaned, if asked for."""
+    return F.pandas_udf(_parsed_words if with_words else _parsed, _LINE)(text)
 
 
-def head_of(text: str) -> Column:
-    """The same, with the candidate names in front of the words."""
-    return F.pandas_udf(_head, "spoken boolean, names array<string>")(text)
+def _persons(labels) -> Persons:
+    return Persons({int(x["speaker_id"]): x["display_name"] for x in labels} if labels is not None else {})
 
 
-def words_of(text: str) -> Column:
-    """The spoken words of a text."""
-    return F.pandas_udf(_words, "string")(text)
+def _ids(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        out = [(s, i, p) for s, labels in zip(frame["session_id"], frame["labels"]) for i, p in _persons(labels).persons.items() if p != i]
+        yield pd.DataFrame(out, columns=["session_id", "speaker_id", "person"])
 
 
-def _who(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each session, the person of each labelled id and of each name in its texts."""
+def _names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    session, persons = None, Persons({})
     for frame in frames:
         out = []
-        for session, labels, names in zip(frame["session_id"], frame["labels"], frame["names"]):
-            spelled: dict[int, str | None] = {}
-            for x in sorted(labels, key=lambda x: (x["speaker_id"], x["name"] or "")):
-                spelled[int(x["speaker_id"])] = x["name"]
-            persons = Persons(spelled)
-            out += [(session, "id", i, None, p) for i, p in persons.persons.items() if p != i]
-            out += [(session, "name", None, n, w) for n in sorted(set(names)) if (w := persons.who(n)) is not None]
-        yield pd.DataFrame(out, columns=["session_id", "kind", "speaker_id", "name", "person"]).astype({"speaker_id": "Int64", "person": "Int64"})
-
-
-def persons_of(labels: DataFrame, names: DataFrame) -> DataFrame:
-    """(session_id, kind, speaker_id, name, person): ids that belong to another id's person, and names that mean one.
-
-    labels: of each session those of its highest labels_version count. names:
-    (session_id, name). A group is one session's distinct labels and names, so
-    its size is the number of spellings there, not of rows.
+        for s, name, labels in zip(frame["session_id"], frame["name"], frame["labels"]):
+            if s != session:
+                session, persons = s, _persons(labels)
+            if (who := persons.who(name)) is not None:
+                out.append((s, name, who))
+        yield pd.DataFrame(out, columns=["session_id", "name", "person"])
+
+
+def persons_of(labels: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(session_id, speaker_id, person): ids that belong to another id's person; and (session_id, name, person): names that mean one.
+
+    labels: of each session those of its highest labels_version count, one name an
+    id. names: (session_id, name). Only the labels of a session come together, whose
+    number is that of its speakers; names are spread over tasks, each row with the
+    labels of its session, and compared with these one by one.
     """
-    top = labels.groupBy("session_id").agg(F.max("labels_version").alias("labels_version"))
-    labels = labels.where(F.col("speaker_id").isNotNull()).join(top, ["session_id", "labels_version"])
-    rows = labels.select("session_id", F.lit("id").alias("kind"), F.col("speaker_id").cast("long").alias("speaker_id"), F.col("display_name").alias("name"))
-    rows = rows.unionByName(names.select("session_id", F.lit("name").alias("kind"), F.lit(None).cast("long").alias("speaker_id"), "name"))
-    schema = "session_id string, kind string, speaker_id long, name string, person long"
-    rows = rows.distinct().groupBy("session_id").agg(
-        F.collect_list(F.when(F.col("kind") == "id", F.struct("speaker_id", "name"))).alias("labels"),
-        F.collect_list(F.when(F.col("kind") == "name", F.col("name"))).alias("names"),
-    )
-    return rows.mapInPandas(_who, schema)
+    rows = newest_labels(labels).where(F.col("speaker_id").isNotNull() & F.col("session_id").isNotNull())
+    rows = rows.select("session_id", F.struct(F.col("speaker_id").cast("long").alias("speaker_id"), "display_name").alias("x"))
+    of_session = rows.groupBy("session_id").agg(F.array_sort(F.collect_list("x")).alias("labels"))
+    same = of_session.mapInPandas(_ids, "session_id string, speaker_id long, person long")
+    told = salted_join(names.distinct(), of_session, ["session_id"], "name")
+    return same, told.mapInPandas(_names, "session_id string, name string, person long")
 
 
 def spoken_segments(segments: DataFrame, labels: DataFrame, intervals: DataFrame, with_text: bool = False) -> DataFrame:
     """(session_id, seg_id, start_ms, person[, text]) of the segments with words, as far as a person is known."""
-    text = [words_of("text").alias("text")] if with_text else []
-    segments = segments.where(F.col("session_id").isNotNull() & F.col("start_ms").isNotNull() & F.col("seg_id").isNotNull())
-    known = segments.where(F.col("speaker_id").isNotNull() & F.col("text").isNotNull())
-    known = known.where(has_words("text")).select("session_id", "seg_id", "start_ms", F.col("speaker_id").cast("long").alias("speaker_id"), *text)
-
-    unknown = segments.where(F.col("speaker_id").isNull() & F.col("text").isNotNull()).withColumn("head", head_of("text")).where("head.spoken")
-    unknown = unknown.select("session_id", "seg_id", "start_ms", "end_ms", F.col("head.names").alias("names"), *text)
+    segments = segments.where(F.col("session_id").isNotNull() & F.col("start_ms").isNotNull() & F.col("seg_id").isNotNull() & F.col("text").isNotNull())
+    text = [F.col("line.words").alias("text")] if with_text else []
+    line = parsed_line("text", with_text).alias("line")
+    known = segments.where(F.col("speaker_id").isNotNull()).select("session_id", "seg_id", "start_ms", F.col("speaker_id").cast("long").alias("speaker_id"), line).where("line.spoken")
+    known = known.select("session_id", "seg_id", "start_ms", "speaker_id", *text)
+
+    unknown = segments.where(F.col("speaker_id").isNull()).select("session_id", "seg_id", "start_ms", "end_ms", line).where("line.spoken")
+    unknown = unknown.select("session_id", "seg_id", "start_ms", "end_ms", F.col("line.names").alias("names"), *text)
     unknown = materialize(unknown.dropDuplicates(["seg_id"]), "unnamed-segments")
 
-    named = unknown.select("session_id", F.explode("names").alias("name")).distinct()
-    who = materialize(persons_of(labels, named), "persons")
-    same = who.where("kind = 'id'").select("session_id", "speaker_id", "person")
-    means = who.where("kind = 'name'").select("session_id", "name", "person")
-
-    said = unknown.select("session_id", "seg_id", F.posexplode("names").alias("at", "name")).join(means, ["session_id", "name"])
+    same, means = persons_of(labels, unknown.select("session_id", F.explode("names").alias("name")))
+    said = unknown.select("session_id", "seg_id", F.posexplode("names").alias("at", "name"))
+    said = salted_join(said, means, ["session_id", "name"], "seg_id", "inner")
     said = said.groupBy("seg_id").agg(F.min_by("person", "at").alias("said"))
     heard = assign_speaker(unknown, intervals).select("seg_id", "speaker_id")
     unknown = unknown.join(said, "seg_id", "left").join(heard, "seg_id", "left")
     columns = ["session_id", "seg_id", "start_ms", "speaker_id", "said", *(["text"] if with_text else [])]
     rows = known.withColumn("said", F.lit(None).cast("long")).select(columns).unionByName(unknown.select(columns))
-    rows = rows.join(same, ["session_id", "speaker_id"], "left")
+    rows = salted_join(rows, same, ["session_id", "speaker_id"], "seg_id")
     rows = rows.withColumn("person", F.coalesce("said", "person", "speaker_id"))
     return rows.where(F.col("person").isNotNull()).drop("said", "speaker_id")
 
 
-def turns(spoken: DataFrame, max_step: int = HOUR_MS) -> DataFrame:
-    """Longest runs of one person's segments: (session_id, speaker_id, first_seg, last_seg, segments[, text]).
+def turns(spoken: DataFrame, max_step: int = HOUR_MS, width: int = SLICE_MS) -> DataFrame:
+    """Longest runs of one person's segments: (session_id, speaker_id, first_seg, last_seg, segments, start_ms[, text]).
 
     Segments are taken by start_ms (equal ones by seg_id); each starts less than
-    max_step after the one before. Sessions are cut into slices of max_step, runs
-    are found per slice and then joined across slices by the run that each slice
-    carries in, so a hot session is spread over its slices.
+    max_step after the one before. Sessions are cut into slices of time, whose ends
+    tell which turns go on across them, so a hot session is spread over its slices.
+    Of copies of a segment the largest person counts. A turn's texts come together
+    in the row that holds them.
     """
-    k = ["session_id", "_b"]
-    texts = "text" in spoken.columns
-    rows = spoken.withColumn("_b", F.expr(f"start_ms div {int(max_step)}")).repartition(*k)
-    rows = rows.groupBy(*k, "start_ms", "seg_id").agg(F.max("person").alias("person"), *([F.first("text").alias("text")] if texts else []))
-    w = Window.partitionBy(*k).orderBy("start_ms", "seg_id")
-    new = F.lag("person").over(w).isNull() | (F.lag("person").over(w) != F.col("person"))
-    rows = rows.withColumn("_new", new | (F.col("start_ms") - F.lag("start_ms").over(w) >= max_step))
-    rows = rows.withColumn("_run", F.sum(F.col("_new").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_last", F.coalesce(F.lead("_new").over(w), F.lit(True)))
-    runs = rows.groupBy(*k, "_run").agg(
-        F.max("person").alias("person"), F.min("start_ms").alias("_from"), F.max("start_ms").alias("_to"),
-        F.max(F.when(F.col("_new"), F.col("seg_id"))).alias("first_seg"), F.max(F.when(F.col("_last"), F.col("seg_id"))).alias("last_seg"),
-        F.count("*").alias("segments"),
-        *([F.array_sort(F.collect_list(F.struct("start_ms", "seg_id", "text"))).alias("_texts")] if texts else []),
-    )
-    slices = runs.groupBy(*k).agg(
-        F.max(F.when(F.col("_run") == 1, F.col("person"))).alias("_first_person"), F.min("_from").alias("_start"), F.max("_from").alias("_opened"),
-        F.max("_to").alias("_end"), F.max("_run").alias("_n"), F.max_by("person", "_run").alias("_last_person"),
-    )
-    before = slices.select("session_id", (F.col("_b") + 1).alias("_b"), F.col("_last_person").alias("_p"), F.col("_end").alias("_e"))
-    slices = slices.join(before, k, "left")
-    slices = slices.withColumn("_goes_on", F.coalesce((F.col("_p") == F.col("_first_person")) & (F.col("_start") - F.col("_e") < max_step), F.lit(False)))
-    opened = F.struct(F.col("_opened").alias("t"), F.col("_n").alias("r"))
-    slices = slices.withColumn("_open", F.when(~F.col("_goes_on") | (F.col("_n") > 1), opened))
-    slices = carried_max(slices.select(*k, "_open", "_goes_on"), ["session_id"], "_b", {"_open": "_label_in"})
-    runs = runs.join(slices.select(*k, "_goes_on", "_label_in"), k)
-    own = F.struct(F.col("_from").alias("t"), F.col("_run").alias("r"))
-    runs = runs.withColumn("_label", F.when((F.col("_run") == 1) & F.col("_goes_on"), F.col("_label_in")).otherwise(own))
-    out = runs.groupBy("session_id", "_label").agg(
-        F.max("person").alias("speaker_id"), F.min_by("first_seg", "_from").alias("first_seg"), F.max_by("last_seg", "_to").alias("last_seg"),
-        F.sum("segments").alias("segments"), F.max("_to").alias("_to"),
-        *([F.array_sort(F.flatten(F.collect_list("_texts"))).alias("_texts")] if texts else []),
-    )
-    columns = ["session_id", "speaker_id", "first_seg", "last_seg", "segments", F.col("_label.t").alias("start_ms")]
+    keys, order = ["session_id"], ["start_ms", "seg_id"]
+    texts = ["text"] if "text" in spoken.columns else []
+
+    def starts(before: Column, row: Column) -> Column:
+        return (before["person"] != row["person"]) | (row["start_ms"] - before["start_ms"] >= max_step)
+
+    rows = sliced(spoken.select(*keys, *order, "person", *texts), keys, "start_ms", width)
+    rows = runs(once(rows, [*keys, "_slice", *order]), keys, order, starts, "_turn", "_place")
+    at = F.struct(*order)
+    found = [F.max("person").alias("speaker_id"), F.min_by("seg_id", at).alias("first_seg"), F.max_by("seg_id", at).alias("last_seg"), F.count("*").alias("segments")]
+    if texts:
+        found.append(F.array_sort(F.collect_list(F.struct(*order, "text"))).alias("_texts"))
+    out = rows.groupBy(*keys, "_turn").agg(*found)
+    columns = ["session_id", "speaker_id", "first_seg", "last_seg", "segments", F.col("_turn.start_ms").alias("start_ms")]
     if texts:
         columns.append(F.array_join(F.transform("_texts", lambda x: x["text"]), " ").alias("text"))
     return out.select(*columns)
