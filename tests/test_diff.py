@@ -1,9 +1,9 @@
 import datetime as dt
 import unicodedata
 
-from voxloom.operators.diff import PresenceBitmap, listing_diff, only_per_folder, plain_path
+import pytest
 
-import numpy as np
+from voxloom.operators.diff import listing_diff, only_per_folder, plain_path, plain_paths, presence
 
 T = dt.datetime(2026, 2, 1, 12, 0, 0)
 LOCAL = "rel_path string, is_dir boolean, local_size long, content_hash string, modified_at timestamp, listed_at timestamp"
@@ -37,11 +37,16 @@ def test_plain_path():
     assert plain_path(unicodedata.normalize("NFD", "é"), False) == "é"
 
 
-def test_bitmaps():
-    rng = np.random.default_rng(1)
-    for share in (0.0, 0.001, 0.5, 1.0):
-        a, b = rng.random(1001) < share, rng.random(1001) < 0.5
-        x, y = PresenceBitmap(a), PresenceBitmap(b)
-        assert x.and_not(y).tolist() == np.flatnonzero(a & ~b).tolist()
-        assert y.and_not(x).tolist() == np.flatnonzero(b & ~a).tolist()
-        assert x.intersect(y).tolist() == np.flatnonzero(a & b).tolist()
+def test_plain_paths_as_columns(spark):
+    texts = ["./a%2Fb\\c//d/", "40% x", "%ff", "a%20b", "a+b%2B", None, "", "/", "re\u0301sume\u0301 %CC", "e%CC%81", "%EF%BF%BD", "\ufffd%41", "%zz%41", "день/%D0%B4", "a%E4%BD%A0", "%ED%A0%80"]
+    df = spark.createDataFrame([(t,) for t in texts], "p string")
+    for decode in (True, False):
+        assert [r[0] for r in df.select(plain_paths("p", decode)).collect()] == [plain_path(t, decode) for t in texts]
+
+
+@pytest.mark.parametrize("blocks, files", [(1, 70_000), (5, 300)])
+def test_presence_by_bitmaps(spark, blocks, files):
+    rows = spark.range(files).selectExpr("concat('p/', id) as rel_path", "id % 7 = 3 as is_dir", "timestamp_seconds(id) as listed_at", "id")
+    presence_of = {(r.path): r.side for r in presence(rows.where("id % 3 <> 0"), rows.where("id % 5 <> 0"), blocks).collect()}
+    want = {f"p/{i}": "both" if i % 3 and i % 5 else "local_only" if i % 3 else "remote_only" for i in range(files) if (i % 3 or i % 5) and i % 7 != 3}
+    assert presence_of == want

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from voxloom.operators.replay import contiguous_watermark, replay, state_parts
+from voxloom.operators.replay import contiguous_watermark, replay, replay_parts
 
 SCHEMA = "change_id long, rel_path string, synced_at long, deleted_at long, etag string"
 
@@ -25,7 +25,25 @@ def test_watermark(spark, missing):
     ids = ids.join(gone, "id", "left_anti").withColumnRenamed("id", "change_id")
     left = sorted(set(range(1, 100_001)) - set(missing))
     expected = next((a for a, b in zip(left, left[1:]) if b != a + 1), left[-1])
-    assert contiguous_watermark(ids.union(ids.limit(10)), "change_id") == expected
+    assert contiguous_watermark(ids.union(ids.limit(10)), "change_id").collect()[0][0] == expected
+
+
+def test_watermark_of_large_numbers_and_of_none(spark):
+    base = 2**61 - 5
+    ids = spark.createDataFrame([(base + i,) for i in (0, 1, 2, 4)], "change_id long")
+    assert contiguous_watermark(ids, "change_id").collect()[0][0] == base + 2
+    assert contiguous_watermark(ids.limit(0), "change_id").collect()[0][0] is None
+    assert contiguous_watermark(ids.selectExpr("-change_id - 40000 as change_id"), "change_id").collect()[0][0] == -base - 4 - 40000
+
+
+def test_a_transaction_across_a_gap_is_held_as_a_whole(spark):
+    rows = [(1, "a", 10, None, "t1", 1), (2, "b", 11, None, "t2", 2), (4, "b", 12, None, "t2", 2), (5, "a", 13, None, None, None), (7, "c", 14, None, "t3", 2)]
+    df = spark.createDataFrame(rows, "change_id long, rel_path string, synced_at long, deleted_at long, tx string, size int")
+    run = lambda frame, close: sorted((r.rel_path, r.change_id) for r in replay(frame, transaction="tx", transaction_size="size", close=close).collect())
+    assert run(df, False) == [("a", 1)]
+    assert run(df, True) == [("a", 5), ("b", 4)]  # t3 never became complete
+    filled = df.union(spark.createDataFrame([(3, "d", 11, None, None, None)], df.schema)).union(df.limit(2))
+    assert run(filled, False) == [("a", 5), ("b", 4), ("d", 3)]
 
 
 def test_held_changes_and_transactions(spark):
@@ -44,7 +62,7 @@ def test_held_changes_are_merged_into_the_committed_state(spark):
         (8, "b", 13, 13, None), (7, "c", 15, None, "late"), (6, "d", 11, None, "late"), (10, "e", None, None, "1"), (11, "f", 1, 1, None),
     ]
     df = spark.createDataFrame(rows, SCHEMA)
-    parts = state_parts(df, contiguous_watermark(df, "change_id"), "rel_path", "change_id", "synced_at").collect()
+    parts = replay_parts(df, "rel_path", "change_id", "synced_at").collect()
     number = lambda x: x and x.order.q
     assert {r.rel_path: (number(r.committed), number(r.held)) for r in parts} == {"a": (1, 9), "b": (2, 8), "c": (3, 7), "d": (4, 6), "e": (None, 10), "f": (None, 11)}
     state = lambda close: sorted((r.rel_path, r.change_id, r.etag, r.after_gap) for r in replay(df, close=close).collect())

@@ -7,39 +7,12 @@ from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-class PresenceBitmap:
-    """Which ordinals of a block a side has, in the smaller of two forms: bits or the list of ordinals."""
-
-    def __init__(self, present: np.ndarray):
-        self.size = len(present)
-        self.ordinals = np.flatnonzero(present).astype(np.uint32)
-        self.bits = None
-        if self.ordinals.nbytes > (self.size + 7) // 8:
-            self.bits, self.ordinals = np.packbits(present), None
-
-    def _dense(self) -> np.ndarray:
-        if self.bits is not None:
-            return self.bits
-        present = np.zeros(self.size, bool)
-        present[self.ordinals] = True
-        return np.packbits(present)
-
-    def _list(self, bits: np.ndarray) -> np.ndarray:
-        return np.flatnonzero(np.unpackbits(bits, count=self.size))
-
-    def and_not(self, other: PresenceBitmap) -> np.ndarray:
-        """Ordinals present here and absent there."""
-        return self._list(self._dense() & ~other._dense())
-
-    def intersect(self, other: PresenceBitmap) -> np.ndarray:
-        """Ordinals present on both sides."""
-        return self._list(self._dense() & other._dense())
+BITS = 32_768  # of one bitmap of Spark's bitmap functions
 
 
 def plain_path(text: str | None, decode: bool) -> str | None:
@@ -59,14 +32,20 @@ def plain_path(text: str | None, decode: bool) -> str | None:
     return "/".join(p for p in text.split("/") if p not in ("", "."))
 
 
-def plain_paths(column: str, decode: bool) -> Column:
-    """plain_path over a column, in Arrow batches."""
+def composed(x: Column) -> Column:
+    """Text in composed Unicode (NFC), by the library that Spark's collations use; null for null."""
+    return F.when(x.isNotNull(), F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(x, F.lit("")), F.lit(False)))
 
-    @F.pandas_udf("string")
-    def convert(paths: pd.Series) -> pd.Series:
-        return pd.Series([plain_path(p if isinstance(p, str) else None, decode) for p in paths], dtype=object)
 
-    return convert(F.col(column))
+def plain_paths(column: str, decode: bool) -> Column:
+    """plain_path as a column."""
+    x = F.col(column)
+    if decode:
+        escaped = F.regexp_replace(F.regexp_replace(x, r"%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
+        lost = F.regexp_count(F.url_decode(escaped), F.lit("\ufffd")) > F.regexp_count(x, F.lit("(?i)%EF%BF%BD|\ufffd"))  # bytes that are no UTF-8
+        x = F.when(x.contains("%") & ~lost, F.url_decode(escaped)).otherwise(x)
+    parts = F.split(F.replace(composed(x), F.lit("\\"), F.lit("/")), "/")
+    return F.array_join(F.filter(parts, lambda p: ~p.isin("", ".")), "/")
 
 
 def plain_digest(column: str) -> Column:
@@ -86,34 +65,61 @@ def spelled_time(column: str) -> Column:
     return F.coalesce(number, F.unix_seconds(http), F.unix_seconds(iso))
 
 
-def _latest(side: int) -> Column:
-    return F.max(F.when(F.col("_side") == side, F.struct("_listed", "_dir", "_size", "_hash", "_time")))
+def _latest(side: int, *columns: str) -> Column:
+    return F.max(F.when(F.col("_side") == side, F.struct("_listed", "_dir", *columns)))
+
+
+def _sides(local: DataFrame, remote: DataFrame, values: bool) -> DataFrame:
+    def side(df: DataFrame, number: int, path: Column, size: str, time: Column) -> DataFrame:
+        columns = [F.col(size).cast("long").alias("_size"), plain_digest("content_hash").alias("_hash"), time.alias("_time")] if values else []
+        return df.where(F.col("rel_path").isNotNull()).select(
+            F.coalesce(path, F.lit("")).alias("_path"), F.lit(number).alias("_side"), F.col("listed_at").alias("_listed"), F.coalesce("is_dir", F.lit(False)).alias("_dir"), *columns
+        )
+
+    return side(local, 0, plain_paths("rel_path", False), "local_size", F.unix_seconds(F.col("modified_at").cast("timestamp"))).unionByName(
+        side(remote, 1, plain_paths("rel_path", True), "remote_size", spelled_time("remote_modified"))
+    )
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch is a block of shared ordinals, its rows."""
+def _compare_presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each unit of ordinals, from the bitmaps of both sides, those of one side only and of both."""
     for batch in batches:
-        column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        local, remote = (PresenceBitmap(column[n].to_numpy(zero_copy_only=False).astype(bool)) for n in ("in_l", "in_r"))
-        found = [(local.and_not(remote), "local_only"), (remote.and_not(local), "remote_only")]
-        both = local.intersect(remote)
-        aligned = {n: column[n].take(pa.array(both, pa.int64())) for n in ("size_l", "size_r", "hash_l", "hash_r", "time_l", "time_r")}
-
-        def differs(left: pa.Array, right: pa.Array) -> np.ndarray:
-            null_l, null_r = (x.is_null().to_numpy(zero_copy_only=False) for x in (left, right))
-            same = left.to_numpy(zero_copy_only=False) == right.to_numpy(zero_copy_only=False)
-            return (null_l != null_r) | (~null_l & ~null_r & ~same)
-
-        found += [(both[differs(aligned[f"{f}_l"], aligned[f"{f}_r"])], f) for f in ("size", "hash")]
-        known = ~(aligned["time_l"].is_null().to_numpy(zero_copy_only=False) | aligned["time_r"].is_null().to_numpy(zero_copy_only=False))
-        left, right = (aligned[n].fill_null(0).to_numpy(zero_copy_only=False) for n in ("time_l", "time_r"))
-        found += [(both[known & (left > right)], "local_newer"), (both[known & (right > left)], "remote_newer")]
-        at = np.concatenate([f for f, _ in found]).astype(np.int64)
-        names = pa.array(np.repeat([d for _, d in found], [len(f) for f, _ in found]).astype(object), pa.string())
-        yield pa.RecordBatch.from_arrays([column["path"].take(pa.array(at)), names], ["rel_path", "diff"])
-
-
-def listing_diff(local: DataFrame, remote: DataFrame) -> DataFrame:
+        local, remote = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8) for i in (1, 2))
+        sets = [local & ~remote, remote & ~local, local & remote]
+        cut = [pa.array([x[at : at + BITS // 8].tobytes() for at in range(0, len(x), BITS // 8)], pa.binary()) for x in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *cut], ["_unit", "_l", "_r", "_both"])
+
+
+def _has(bitmap: str, place: str) -> Column:
+    """Whether the bit at place is set."""
+    return F.expr(f"shiftright(conv(hex(substring({bitmap}, cast({place} div 8 as int) + 1, 1)), 16, 10), cast({place} % 8 as int)) & 1") == 1
+
+
+def presence(local: DataFrame, remote: DataFrame, blocks: int = 4096) -> DataFrame:
+    """(path, ordinal, side) of the files of two listings; side is local_only, remote_only or both.
+
+    See listing_diff for what counts as a file. Only paths, times of listing and
+    is_dir are read.
+
+    The distinct paths are numbered within blocks by hash: these ordinals are
+    shared by both sides. Of each side a bitmap of BITS ordinals says which it has;
+    bitmaps are combined before the shuffle and travel compressed, 4 kB for up to
+    32,768 paths. AND-NOT of a unit's two bitmaps gives the ordinals of one side
+    only, AND those of both, by which the paths are told apart.
+    """
+    rows = _sides(local, remote, False).groupBy("_path").agg(_latest(0).alias("_l"), _latest(1).alias("_r"))
+    here = [F.coalesce(~F.col(f"{x}._dir"), F.lit(False)).alias(f"in{x}") for x in ("_l", "_r")]
+    keys = rows.select("_path", *here).where("in_l or in_r").withColumn("_block", F.pmod(F.xxhash64("_path"), F.lit(blocks)))
+    at = F.row_number().over(Window.partitionBy("_block").orderBy("_path")).cast("long") - 1
+    keys = keys.withColumn("_at", at).select("_path", "in_l", "in_r", (F.shiftleft("_block", 40) + F.expr(f"_at div {BITS}")).alias("_unit"), (F.col("_at") % BITS).alias("_place"))
+    bits = [F.bitmap_construct_agg(F.when(F.col(f"in_{x}"), F.col("_place"))).alias(f"_{x}") for x in "lr"]
+    sets = keys.groupBy("_unit").agg(*bits).mapInArrow(_compare_presence, "_unit long, _l binary, _r binary, _both binary")
+    side = F.when(_has("_both", "_place"), "both").when(_has("_l", "_place"), "local_only").when(_has("_r", "_place"), "remote_only")
+    found = keys.select("_path", "_unit", "_place").join(sets, "_unit")
+    return found.select(F.col("_path").alias("path"), F.struct(F.col("_unit").alias("unit"), F.col("_place").alias("place")).alias("ordinal"), side.alias("side"))
+
+
+def listing_diff(local: DataFrame, remote: DataFrame, blocks: int = 4096) -> DataFrame:
     """Files on one side only and fields that differ, as (rel_path, diff).
 
     diff is local_only, remote_only, size, hash, local_newer or remote_newer; a
@@ -126,29 +132,19 @@ def listing_diff(local: DataFrame, remote: DataFrame) -> DataFrame:
     file. A null path is left out, a null is_dir means a file. Empty listings are
     listings without files. Other columns are ignored.
 
-    Method: one shuffle, behind a partial aggregation, aligns both sides on a
-    path. Every Arrow batch of aligned rows is a block whose row numbers are the
-    shared ordinals: presence bitmaps give missing rows by AND-NOT, their
-    intersection selects the ordinals whose columns are compared as vectors. A
-    block never exceeds a batch, whatever the size of the listings.
+    Method: presence() tells by shared ordinals and bitmaps which paths are on one
+    side only. Sizes, digests and times travel apart from that and are aligned
+    with the ordinals of both sides alone, so that each column of one side lies
+    beside that of the other and is compared as a whole.
     """
-
-    def side(df: DataFrame, number: int, path: Column, size: str, time: Column) -> DataFrame:
-        return df.select(
-            path.alias("_path"), F.lit(number).alias("_side"), F.col("listed_at").alias("_listed"), F.coalesce("is_dir", F.lit(False)).alias("_dir"),
-            F.col(size).cast("long").alias("_size"), plain_digest("content_hash").alias("_hash"), time.alias("_time"),
-        )
-
-    rows = side(local, 0, plain_paths("rel_path", False), "local_size", F.unix_seconds(F.col("modified_at").cast("timestamp"))).unionByName(
-        side(remote, 1, plain_paths("rel_path", True), "remote_size", spelled_time("remote_modified"))
-    )
-    aligned = rows.where(F.col("_path").isNotNull()).groupBy("_path").agg(_latest(0).alias("l"), _latest(1).alias("r"))
-    have = lambda x: F.coalesce(F.col(f"{x}._listed").isNotNull() | F.col(f"{x}._dir").isNotNull(), F.lit(False)) & ~F.coalesce(f"{x}._dir", F.lit(True))
-    aligned = aligned.select(
-        F.col("_path").alias("path"), have("l").alias("in_l"), have("r").alias("in_r"),
-        *[F.col(f"{x}._{f}").alias(f"{f}_{x}") for f in ("size", "hash", "time") for x in "lr"],
-    )
-    return aligned.where("in_l or in_r").mapInArrow(_compare, "rel_path string, diff string")
+    where = presence(local, remote, blocks)
+    missing = where.where("side <> 'both'").select("path", F.array("side").alias("_diffs"))
+    values = _sides(local, remote, True).groupBy("_path").agg(*[_latest(n, "_size", "_hash", "_time").alias(x) for n, x in enumerate("lr")])
+    both = where.where("side = 'both'").join(values.withColumnRenamed("_path", "path"), "path")
+    differs = [F.when(~F.col(f"l._{f}").eqNullSafe(F.col(f"r._{f}")), F.lit(f)) for f in ("size", "hash")]
+    newer = [F.when(F.col(f"{a}._time") > F.col(f"{b}._time"), F.lit(d)) for a, b, d in (("l", "r", "local_newer"), ("r", "l", "remote_newer"))]
+    diffs = both.select("path", F.array_compact(F.array(*differs, *newer)).alias("_diffs"))
+    return missing.unionByName(diffs).select(F.col("path").alias("rel_path"), F.explode("_diffs").alias("diff"))
 
 
 def folders_of(path: str | Column) -> Column:
@@ -158,7 +154,7 @@ def folders_of(path: str | Column) -> Column:
 
 
 def only_per_folder(diff: DataFrame, which: str = "remote_only") -> DataFrame:
-    """How many files of the kind which lie below each folder: (folder, files).
+    """How many files of the kind which lie below each folder: (folder, files); diff has rel_path and diff.
 
     Counts are combined before the shuffle, so the root and other hot folders
     cost one row a task. Folders without such files are absent.

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.operators.scan import salted_join
+
 BITS = 32_768  # of one bitmap of Spark's bitmap functions
 
 
@@ -25,16 +27,15 @@ def instant_ns(value: str | Column) -> Column:
     return F.try_multiply(x, unit.cast("long"))
 
 
-def contiguous_watermark(changes: DataFrame, seq: str) -> int | None:
-    """The largest number up to which every sequence number from the smallest on is present.
+def contiguous_watermark(changes: DataFrame, seq: str) -> DataFrame:
+    """(watermark): the largest number up to which every sequence number from the smallest on is present; one row, null for a feed without numbers.
 
     Presence is held as one bitmap of 32,768 numbers per bucket, combined before
     the shuffle, so copies of a change and hot keys cost nothing. Only buckets
-    with a hole go to the Python part, and one row to the driver. None for a feed
-    without numbers.
+    with a hole go to the Python part.
     """
     x = changes.where(F.col(seq).isNotNull()).select(F.col(seq).cast("long").alias("_q"))
-    x = x.select(F.floor(F.col("_q") / BITS).alias("_b"), F.pmod("_q", F.lit(BITS)).alias("_p"))
+    x = x.select(F.expr(f"(_q - pmod(_q, {BITS})) div {BITS}").alias("_b"), F.pmod("_q", F.lit(BITS)).alias("_p"))
     maps = x.groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_bits"), F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
     maps = maps.select("_b", "_bits", "_lo", "_hi", F.bitmap_count("_bits").alias("_n"))
     # A run of numbers ends in a bucket with a hole, with an early end, or before a bucket that is absent or starts late.
@@ -52,23 +53,68 @@ def contiguous_watermark(changes: DataFrame, seq: str) -> int | None:
                 at.append(b * BITS + lo + int(np.argmin(present[lo:])) - 1)
             yield pa.RecordBatch.from_pydict({"end": pa.array(at, pa.int64())})
 
-    return ends.select("_b", "_bits", "_lo", "_hi", "_n").mapInArrow(first_end, "end long").agg(F.min("end")).first()[0]
+    return ends.select("_b", "_bits", "_lo", "_hi", "_n").mapInArrow(first_end, "end long").agg(F.min("end").alias("watermark"))
+
+
+def committed_changes(feed: DataFrame, seq: str, transaction: str | None = None, transaction_size: str | None = None) -> DataFrame:
+    """The changes of complete transactions, with _commit, the number at which theirs commits: its largest one.
+
+    A transaction is complete once transaction_size different seq of it have come;
+    of differing sizes the largest counts, and null means 1. A change without a
+    transaction, and every change where these columns aren't given, commits alone.
+    Distinct numbers of a transaction are counted before and after the shuffle, and
+    rows of a hot one are spread.
+    """
+    if not (transaction and transaction_size):
+        return feed.withColumn("_commit", F.col(seq))
+    rows = feed.where(F.col(seq).isNotNull())
+    have = rows.where(F.col(transaction).isNotNull()).groupBy(transaction, seq).agg(F.max(transaction_size).alias("_want"))
+    have = have.groupBy(transaction).agg(F.count("*").alias("_have"), F.max("_want").alias("_want"), F.max(seq).alias("_commit"))
+    have = have.select(transaction, (F.col("_have") >= F.coalesce("_want", F.lit(1))).alias("_whole"), "_commit")
+    found = salted_join(rows, have, [transaction], seq)
+    alone = F.col(transaction).isNull()
+    return found.where(alone | F.col("_whole")).select(*feed.columns, F.when(alone, F.col(seq)).otherwise(F.col("_commit")).alias("_commit"))
 
 
-def state_parts(rows: DataFrame, watermark: int | None, key: str, seq: str, at: str | Column) -> DataFrame:
-    """(key, committed, held): the last change of each key up to the watermark, and the last one beyond it.
+def replay_parts(feed: DataFrame, key: str, seq: str, at: str | Column, transaction: str | None = None, transaction_size: str | None = None) -> DataFrame:
+    """(key, committed, held): the last change of each key up to the watermark, and the last one held beyond it.
 
     Each is a struct of order (time and seq) and change, the other columns; null
     without such a change. Deletions are kept, since what is held may come before
-    or after them. Both are maxima combined before the shuffle, so copies, late
-    and unordered changes and hot keys need nothing else.
+    or after them. A transaction is committed as a whole once the watermark of
+    complete transactions reaches its largest number, else it is held as a whole.
+    Keys don't conflict with each other and are replayed in parallel, by maxima
+    combined before the shuffle, so copies, late and unordered changes and hot keys
+    need nothing else.
     """
-    change = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != key])
+    changes = committed_changes(feed, seq, transaction, transaction_size)
+    watermark = contiguous_watermark(changes, seq).scalar()
+    change = F.struct(*[F.col(f"`{c}`") for c in feed.columns if c != key])
     order = F.struct(instant_ns(at).alias("t"), F.col(seq).alias("q"))
     value = F.struct(order.alias("order"), change.alias("change"))
-    beyond = F.col(seq) > F.lit(watermark if watermark is not None else 0)
-    last = lambda which: F.max_by(F.when(which, value), F.when(which, order))
-    return rows.groupBy(key).agg(last(~beyond).alias("committed"), last(beyond).alias("held"))
+    rows = changes.where(F.col(key).isNotNull() & F.col(seq).isNotNull())
+    beyond = F.col("_commit") > watermark
+    rows = rows.select(key, value.alias("_value"), order.alias("_order"), beyond.alias("_beyond"))
+    last = lambda which: F.max_by(F.when(which, F.col("_value")), F.when(which, F.col("_order")))
+    return rows.groupBy(key).agg(last(~F.col("_beyond")).alias("committed"), last(F.col("_beyond")).alias("held"))
+
+
+def _state(parts: DataFrame, columns: list[str], key: str, deleted: str, change: Column, later: Column) -> DataFrame:
+    last = parts.select(key, change.alias("_x"), later.alias("_later")).where(F.col("_x").isNotNull() & F.col(f"_x.`{deleted}`").isNull())
+    out = last.select(*[F.col(f"`{c}`") if c == key else F.col(f"_x.`{c}`").alias(c) for c in columns], "_later")
+    return out.withColumn("after_gap", F.col("_later")).drop("_later")
+
+
+def exposed(parts: DataFrame, columns: list[str], key: str = "rel_path", deleted: str = "deleted_at") -> DataFrame:
+    """The state at the watermark: what replay_parts has committed, without what is held."""
+    return _state(parts, columns, key, deleted, F.col("committed.change"), F.lit(False))
+
+
+def close_feed(parts: DataFrame, columns: list[str], key: str = "rel_path", deleted: str = "deleted_at") -> DataFrame:
+    """The state at the end of the feed: gaps are taken as lost, and what was held is released and merged into the state at the watermark."""
+    state, tail = F.col("committed"), F.col("held")
+    later = tail.isNotNull() & (state.isNull() | (tail["order"] > state["order"]))
+    return _state(parts, columns, key, deleted, F.when(later, tail["change"]).otherwise(state["change"]), later)
 
 
 def replay(
@@ -89,30 +135,16 @@ def replay(
     The result has the feed's columns, of each surviving key the last change,
     and after_gap: the change lies beyond the contiguous committed watermark.
 
-    Method: a transaction is complete once transaction_size different seq of it
-    have come (without these columns each change is one). The presence of the
-    numbers of complete transactions, as bitmaps, gives the watermark up to which
-    nothing is missing. Keys don't conflict with each other, so they are replayed
-    in parallel: see state_parts. With close=False only changes up to the
-    watermark are exposed and later ones held; close=True is the end of the feed:
-    gaps are taken as lost, and the held changes are released and merged into the
-    state up to the watermark.
+    Method: complete transactions are assembled (committed_changes); bitmaps of
+    their numbers give the watermark up to which nothing is missing; a transaction
+    whose largest number lies beyond it is held as a whole (replay_parts). With
+    close=False only the state at the watermark is exposed; close=True is the end
+    of the feed: the held transactions are released and merged into that state.
+    Transactions that never became complete are not applied.
 
     Copies of a change (equal seq) are taken as equal; of differing ones any one
-    that the order allows remains. An empty feed gives an empty result.
+    that the order allows remains. An empty feed gives an empty result. Nothing
+    runs while the plan is built; the watermark is a scalar subquery.
     """
-    columns = feed.columns
-    rows = feed.where(F.col(key).isNotNull() & F.col(seq).isNotNull())
-    complete = feed
-    if transaction and transaction_size:
-        sizes = feed.groupBy(transaction).agg(F.count_distinct(seq).alias("_have"), F.max(transaction_size).alias("_want"))
-        whole = sizes.where(F.col("_have") >= F.coalesce("_want", F.lit(1))).select(transaction)
-        complete = feed.join(whole, transaction, "left_semi")
-        rows = rows.join(whole, transaction, "left_semi")
-    parts = state_parts(rows, contiguous_watermark(complete, seq), key, seq, at)
-    state, tail = F.col("committed"), F.col("held")
-    later = tail.isNotNull() & (state.isNull() | (tail["order"] > state["order"])) if close else F.lit(False)
-    last = parts.select(key, F.when(later, tail["change"]).otherwise(state["change"]).alias("_x"), later.alias("_later"))
-    last = last.where(F.col("_x").isNotNull() & F.col(f"_x.`{deleted}`").isNull())
-    out = last.select(*[F.col(f"`{c}`") if c == key else F.col(f"_x.`{c}`").alias(c) for c in columns], "_later")
-    return out.withColumn("after_gap", F.col("_later")).drop("_later")
+    parts = replay_parts(feed, key, seq, at, transaction, transaction_size)
+    return (close_feed if close else exposed)(parts, feed.columns, key, deleted)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.operators.diff import listing_diff, only_per_folder
+from voxloom.operators.diff import listing_diff, only_per_folder, presence
 from voxloom.operators.periods import periods_and_gaps
 from voxloom.operators.replay import replay
+from voxloom.operators.scan import salted_join
 from voxloom.sources import table
 
 
@@ -16,7 +17,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_remote_only_by_folder(spark: SparkSession, d: str) -> DataFrame:
-    return only_per_folder(p3_found(spark, d))
+    side = presence(table(spark, d, "local_files"), table(spark, d, "remote_files"))
+    return only_per_folder(side.select(F.col("path").alias("rel_path"), F.col("side").alias("diff")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,13 +29,23 @@ def p4_state(spark: SparkSession, d: str) -> DataFrame:
     return replay(table(spark, d, "manifest_feed")).select("rel_path", "change_id", "etag", "size_bytes", "synced_at", "origin", "after_gap")
 
 
+def p4_by_transactions(spark: SparkSession, d: str) -> DataFrame:
+    """Changes that one device made at one time, as one transaction; one is complete with as many changes as the feed has of it."""
+    feed = table(spark, d, "manifest_feed").select("rel_path", "change_id", "etag", "size_bytes", "synced_at", "origin", "deleted_at")
+    made = F.concat_ws("@", F.coalesce("origin", F.lit("")), F.col("synced_at").cast("string"))
+    feed = feed.withColumn("made", F.when(F.col("synced_at").isNotNull(), made))
+    sizes = feed.where("made is not null and change_id is not null").groupBy("made", "change_id").count().groupBy("made").agg(F.count("*").alias("size"))
+    feed = salted_join(feed, sizes, ["made"], "change_id")
+    return replay(feed, transaction="made", transaction_size="size").select("rel_path", "change_id", "etag", "origin")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     spoken = table(spark, d, "speaker_intervals").select("session_id", "speaker_id", "start_ms", "end_ms")
     chunks = table(spark, d, "audio_chunks").select("session_id", F.lit(-1).cast("long").alias("speaker_id"), "start_ms", "end_ms")
     return periods_and_gaps(spoken.unionByName(chunks), ["session_id", "speaker_id"])
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_remote_only_by_folder, p4_found, p4_state, p6_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_remote_only_by_folder, p4_found, p4_state, p4_by_transactions, p6_found)}
 
 _NS = "case when abs({c}) < 100000000000 then {c}::hugeint * 1000000000 when abs({c}) < 100000000000000 then {c}::hugeint * 1000000 when abs({c}) < 100000000000000000 then {c}::hugeint * 1000 else {c}::hugeint end"
 _LAST = f"""
@@ -76,6 +88,7 @@ ORACLE = {
   select unnest(list_transform(range(0, len(string_split(rel_path, '/'))), lambda n: array_to_string(string_split(rel_path, '/')[1:n], '/'))) as folder
   from diff where diff = 'remote_only') group by folder""",
     "p4_found": f"select rel_path, change_id from ({_LAST}) where rn = 1 and deleted_at is null",
+    "p4_by_transactions": f"select distinct rel_path, change_id, etag, origin from ({_LAST}) where rn = 1 and deleted_at is null",
     "p4_state": f"""select distinct rel_path, change_id, etag, size_bytes, synced_at, origin,
   change_id > (select min(c) from (select distinct change_id as c from manifest_feed) x where not exists (select 1 from manifest_feed y where y.change_id = x.c + 1)) as after_gap
 from ({_LAST}) where rn = 1 and deleted_at is null""",
