@@ -41,8 +41,8 @@ def _persons(labels) -> Persons:
 
 def _ids(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        out = [(s, i, p) for s, labels in zip(frame["session_id"], frame["labels"]) for i, p in _persons(labels).persons.items() if p != i]
-        yield pd.DataFrame(out, columns=["session_id", "speaker_id", "person"])
+        found = [{i: p for i, p in _persons(labels).persons.items() if p != i} for labels in frame["labels"]]
+        yield pd.DataFrame({"session_id": frame["session_id"], "persons": found})
 
 
 def _names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -58,7 +58,7 @@ def _names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def persons_of(labels: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(session_id, speaker_id, person): ids that belong to another id's person; and (session_id, name, person): names that mean one.
+    """(session_id, persons), of each labelled session a map from ids to the other id whose person they belong to; and (session_id, name, person): names that mean one.
 
     labels: of each session those of its highest labels_version count, one name an
     id. names: (session_id, name). Only the labels of a session come together, whose
@@ -68,13 +68,18 @@ def persons_of(labels: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFram
     rows = newest_labels(labels).where(F.col("speaker_id").isNotNull() & F.col("session_id").isNotNull())
     rows = rows.select("session_id", F.struct(F.col("speaker_id").cast("long").alias("speaker_id"), "display_name").alias("x"))
     of_session = rows.groupBy("session_id").agg(F.array_sort(F.collect_list("x")).alias("labels"))
-    same = of_session.mapInPandas(_ids, "session_id string, speaker_id long, person long")
+    same = of_session.mapInPandas(_ids, "session_id string, persons map<long, long>")
     told = salted_join(names.distinct(), of_session, ["session_id"], "name")
     return same, told.mapInPandas(_names, "session_id string, name string, person long")
 
 
-def spoken_segments(segments: DataFrame, labels: DataFrame, intervals: DataFrame, with_text: bool = False) -> DataFrame:
-    """(session_id, seg_id, start_ms, person[, text]) of the segments with words, as far as a person is known."""
+def spoken_segments(segments: DataFrame, labels: DataFrame, intervals: DataFrame, with_text: bool = False, width: int = SLICE_MS) -> DataFrame:
+    """(session_id, _slice, seg_id, start_ms, person[, text]) of the segments with words, as far as a person is known, partitioned by (session_id, _slice).
+
+    Rows are partitioned by slices of their session once, and what they need of
+    their session, the map of persons, comes to each slice, so that neither rows nor
+    texts travel for it.
+    """
     segments = segments.where(F.col("session_id").isNotNull() & F.col("start_ms").isNotNull() & F.col("seg_id").isNotNull() & F.col("text").isNotNull())
     text = [F.col("line.words").alias("text")] if with_text else []
     line = parsed_line("text", with_text).alias("line")
@@ -93,9 +98,12 @@ def spoken_segments(segments: DataFrame, labels: DataFrame, intervals: DataFrame
     unknown = unknown.join(said, "seg_id", "left").join(heard, "seg_id", "left")
     columns = ["session_id", "seg_id", "start_ms", "speaker_id", "said", *(["text"] if with_text else [])]
     rows = known.withColumn("said", F.lit(None).cast("long")).select(columns).unionByName(unknown.select(columns))
-    rows = salted_join(rows, same, ["session_id", "speaker_id"], "seg_id")
-    rows = rows.withColumn("person", F.coalesce("said", "person", "speaker_id"))
-    return rows.where(F.col("person").isNotNull()).drop("said", "speaker_id")
+    rows = sliced(rows, ["session_id"], "start_ms", width)
+    # The largest start only so that both sides of the join read the same exchange.
+    slices = rows.groupBy("session_id", "_slice").agg(F.max(F.struct(*[F.col(c) for c in rows.columns])).alias("_x")).where("_x.start_ms is not null").select("session_id", "_slice")
+    rows = rows.join(slices.join(same, "session_id", "left"), ["session_id", "_slice"])
+    rows = rows.withColumn("person", F.coalesce("said", F.col("persons")[F.col("speaker_id")], "speaker_id"))
+    return rows.where(F.col("person").isNotNull()).drop("said", "speaker_id", "persons")
 
 
 def turns(spoken: DataFrame, max_step: int = HOUR_MS, width: int = SLICE_MS) -> DataFrame:
@@ -105,7 +113,7 @@ def turns(spoken: DataFrame, max_step: int = HOUR_MS, width: int = SLICE_MS) ->
     max_step after the one before. Sessions are cut into slices of time, whose ends
     tell which turns go on across them, so a hot session is spread over its slices.
     Of copies of a segment the largest person counts. A turn's texts come together
-    in the row that holds them.
+    in the row that holds them. spoken may already be partitioned by sliced().
     """
     keys, order = ["session_id"], ["start_ms", "seg_id"]
     texts = ["text"] if "text" in spoken.columns else []
@@ -113,7 +121,7 @@ def turns(spoken: DataFrame, max_step: int = HOUR_MS, width: int = SLICE_MS) ->
     def starts(before: Column, row: Column) -> Column:
         return (before["person"] != row["person"]) | (row["start_ms"] - before["start_ms"] >= max_step)
 
-    rows = sliced(spoken.select(*keys, *order, "person", *texts), keys, "start_ms", width)
+    rows = spoken.select(*keys, "_slice", *order, "person", *texts) if "_slice" in spoken.columns else sliced(spoken.select(*keys, *order, "person", *texts), keys, "start_ms", width)
     rows = runs(once(rows, [*keys, "_slice", *order]), keys, order, starts, "_turn", "_place")
     at = F.struct(*order)
     found = [F.max("person").alias("speaker_id"), F.min_by("seg_id", at).alias("first_seg"), F.max_by("seg_id", at).alias("last_seg"), F.count("*").alias("segments")]
