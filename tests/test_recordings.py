@@ -3,8 +3,8 @@ import pytest
 
 from voxloom.functions.packing import pack_lines
 from voxloom.operators.overlap import annotate_segments
-from voxloom.operators.utterances import merge_utterances, render_srt, repair_timeline
-from voxloom.operators.vectors import agglomerate_labels, centroids, cluster_sessions, cosine, first_appearance, identify, kmeans_labels
+from voxloom.operators.utterances import documents_of, merge_utterances, render_srt, repair_timeline
+from voxloom.operators.vectors import _cosines, agglomerate_labels, centroids, cluster_sessions, cosine, first_appearance, identify, kmeans_labels, moved
 
 SEG = "session_id string, seg_id long, start_ms long, end_ms long, text string, speaker_id long, overlapped boolean"
 INTERVAL = "interval_id long, session_id string, start_ms long, end_ms long, speaker_id long"
@@ -42,10 +42,25 @@ def test_votes(spark):
 
 
 def test_timeline(spark):
-    rows = [("a", i, t, "x") for i, t in enumerate([28600, 56000, 82100, 108790])] + [("b", 0, 5000, "abcde"), ("b", 1, 3000, "abcd"), ("c", 0, 0, "x"), ("b", 2, 9, " ")]
+    rows = [("a", i, t, "x") for i, t in enumerate([1700, 9050, 9051, 40_000])] + [("b", 0, 7000, "abcdef"), ("b", 1, 2000, "ab"), ("c", 0, 0, "x"), ("b", 2, 9, " ")]
+    rows += [("d", i, t, "yy") for i, t in enumerate([10, 10, 40])] + [("e", 0, -5, "z"), ("e", 1, 8, "z")]
     out = repair_timeline(spark.createDataFrame(rows, "session_id string, pos long, to_ms long, text string"), width=2)
     found = {(r.session_id, r.pos): (r.start_ms, r.end_ms) for r in out.collect()}
-    assert found == {("a", 0): (0, 28600), ("a", 1): (28600, 56000), ("a", 2): (56000, 82100), ("a", 3): (82100, 108790), ("b", 0): (0, 2778), ("b", 1): (2778, 5000)}
+    assert found == {
+        ("a", 0): (0, 1700), ("a", 1): (1700, 9050), ("a", 2): (9050, 9051), ("a", 3): (9051, 40_000), ("b", 0): (0, 5250), ("b", 1): (5250, 7000),
+        ("d", 0): (0, 13), ("d", 1): (13, 26), ("d", 2): (26, 39), ("e", 0): (0, 4), ("e", 1): (4, 8),
+    }
+
+
+def test_documents_are_parts_of_bounded_size(spark):
+    rows = [("s", i, i * 1000, f"line {i}") for i in range(500)] + [("t", 900, 5, "x" * 300), ("t", 901, None, "lost")]
+    df = spark.createDataFrame(rows, "session_id string, first_seg long, start_ms long, block string")
+    for width in (5000, 10**9):
+        parts = {}
+        for r in documents_of(df, "|", 100, width).collect():
+            parts.setdefault(r.session_id, {})[r.part] = r.text
+            assert len(r.text) < 110 or r.blocks == 1
+        assert "|".join(parts["s"][n] for n in sorted(parts["s"])) == "|".join(f"line {i}" for i in range(500)) and parts["t"] == {0: "x" * 300}
 
 
 def test_srt(spark):
@@ -62,17 +77,48 @@ def test_vectors(spark):
     rows = [("p", 0, [1.0, 0.0], 0, 9000, 10.0)] + [("p", i, [-1.0, 0.0], 0, 9000, 0.01) for i in range(1, 6)] + [("q", 7, [], 0, 1, 1.0), ("r", 8, None, 0, 1, 1.0), ("z", 9, [0.0, 0.0], 0, 1, 1.0)]
     one = {r.p: r.centroid for r in centroids(spark.createDataFrame(rows, schema), ["p"], "id", 1).collect()}
     assert set(one) == {"p"} and one["p"][0] > 0.9
+    mixed = [("m", 1, [0.0, 2.0], 0, 9000, 0.1), ("m", 2, [1.0, 0.0, 0.0], 0, 9000, 9.0), ("m", 3, [3.0], 0, 1, 0.9), ("n", 1, [], 0, 1, 1.0), ("n", 2, [1.0], 0, 1, 1.0)]
+    assert [(r.p, r.centroid, r.used) for r in centroids(spark.createDataFrame(mixed, schema), ["p"], "id", 3).collect()] == [("m", [0.0, 1.0], 1)]
     found = identify(spark.createDataFrame([("c", [2.0, 0.0]), ("d", [0.0, 0.0]), ("e", [1.0, 1.9])], "c string, centroid array<double>"), spark.createDataFrame([("B", [1.0, 0.0]), ("A", [1.0, 0.0]), ("C", [0.0])], "p string, centroid array<double>"), "c", "p")
     assert {r.c: (r.p, r.confidence) for r in found.collect()} == {"c": ("A", "confirmed"), "d": (None, "new"), "e": (None, "new")}
     with pytest.raises(ValueError):
         identify(found.selectExpr("c", "array(1d) as centroid"), spark.range(5).selectExpr("id as p", "array(1d) as centroid"), "c", "p", most_profiles=3)
 
 
+def all_pairs(x, threshold, least, most):
+    """The same by comparing all pairs of clusters each time."""
+    sums, members = [v.copy() for v in x], [[i] for i in range(len(x))]
+    while len(members) > least:
+        pairs = [(float(_cosines(sums[i][None], sums[j][None])[0, 0]), -i, -j) for i in range(len(sums)) for j in range(i + 1, len(sums))]
+        best, i, j = max((round(c, 12), i, j) for c, i, j in pairs)
+        if best < threshold and len(members) <= most:
+            break
+        i, j = -i, -j
+        sums[i], members[i] = sums[i] + sums[j], members[i] + members[j]
+        del sums[j], members[j]
+    labels = np.zeros(len(x), np.int64)
+    for n, m in enumerate(members):
+        labels[m] = n
+    return first_appearance(labels).tolist()
+
+
+def test_a_centre_without_vectors_goes_to_the_vector_nearest_to_the_centres_by_then():
+    centres = np.array([[1.0, 0.0], [0.0, 1.0], [0.0, 1.0]])
+    seen = []
+    moved(centres, np.array([[0.0, 3.0], [0.0, 0.0], [2.0, 2.0]]), np.array([2, 0, 1]), lambda: seen.append(centres.copy()) or np.array([5.0, 5.0]))
+    assert seen[0].tolist() == [[0.0, 1.0], [0.0, 1.0], [0.0, 1.0]] and centres[1].tolist() == [5.0, 5.0] and np.allclose(centres[2], [0.5**0.5] * 2)
+
+
 def test_clusters(spark):
     x = np.array([[1.0, 0, 0]] * 4 + [[0, 1.0, 0]] * 4)
     assert kmeans_labels(x, 2).tolist() == [0] * 4 + [1] * 4
     assert agglomerate_labels(x).tolist() == [0] * 4 + [1] * 4
     assert agglomerate_labels(x[:1]).tolist() == [0]
+    dealt = np.random.default_rng(3)
+    for size in (2, 9, 40):
+        y = np.round(dealt.normal(size=(size, 2)), 1)
+        for threshold, least, most in ((0.62, 2, 8), (0.9, 1, 5), (-2.0, 1, 3)):
+            assert agglomerate_labels(y, threshold, least, most).tolist() == all_pairs(y, threshold, least, most)
     rng = np.random.default_rng(0)
     assert 2 <= agglomerate_labels(rng.normal(size=(30, 3))).max() + 1 <= 8
     assert first_appearance(np.array([7, 3, 7, 1])).tolist() == [0, 1, 0, 2]

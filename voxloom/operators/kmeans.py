@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.operators.vectors import EPSILON, _cosines
+from voxloom.operators.vectors import EPSILON, _cosines, moved
 from voxloom.session import materialize
 
 LEAST = -(2**63)  # stands for null, which comes first
@@ -44,7 +44,7 @@ class Farthest:
 
 
 class Round:
-    """(sums, counts, first vector's key of each cluster, number of vectors that changed, key of the nearest vector, that vector)."""
+    """(sums, counts, first vector's key of each cluster, number of vectors that changed)."""
 
     @staticmethod
     def of(centres: tuple[np.ndarray, np.ndarray | None], at: np.ndarray, ids: np.ndarray, x: np.ndarray) -> tuple:
@@ -55,14 +55,26 @@ class Round:
         sums = np.zeros_like(now)
         np.add.at(sums, labels, x)
         first = {int(c): (int(at[i]), int(ids[i])) for c, i in zip(*np.unique(labels, return_index=True))}
-        best = near.max(axis=1)
-        i = len(best) - 1 - int(best[::-1].argmax())
-        return sums, np.bincount(labels, minlength=len(now)), first, int((labels != old).sum()), (float(best[i]), int(at[i]), int(ids[i])), x[i]
+        return sums, np.bincount(labels, minlength=len(now)), first, int((labels != old).sum())
 
     @staticmethod
     def both(_: tuple, a: tuple, b: tuple) -> tuple:
         first = {c: min(f[c] for f in (a[2], b[2]) if c in f) for c in {*a[2], *b[2]}}
-        return (a[0] + b[0], a[1] + b[1], first, a[3] + b[3], *max(a[4:], b[4:], key=lambda r: r[0]))
+        return a[0] + b[0], a[1] + b[1], first, a[3] + b[3]
+
+
+class Nearest:
+    """(key of the vector nearest to any centre, that vector)."""
+
+    @staticmethod
+    def of(centres: np.ndarray, at: np.ndarray, ids: np.ndarray, x: np.ndarray) -> tuple:
+        near = _cosines(x, centres).max(axis=1)
+        i = len(near) - 1 - int(near[::-1].argmax())
+        return (float(near[i]), int(at[i]), int(ids[i])), x[i]
+
+    @staticmethod
+    def both(_: np.ndarray, a: tuple, b: tuple) -> tuple:
+        return max(a, b, key=lambda r: r[0])
 
 
 def _sessions(frame: pd.DataFrame, sizes: dict[str, int]) -> Iterator[tuple[str, pd.DataFrame, np.ndarray]]:
@@ -96,7 +108,8 @@ def spread_kmeans(rows: DataFrame, k: int, rounds: int = 25) -> DataFrame:
     rows: session_id, emb_id, start_ms, vector, of few sessions, each row once.
     The driver holds the centres of each session. A pass over the rows gives the
     next start or the sums of a round, combined per task, so at most k + rounds
-    passes are made; sessions that are stable are left out of later ones. Sums are
+    passes are made, and one for each centre that is left without vectors; sessions
+    that are stable are left out of later ones. Sums are
     added up in another order than in kmeans_labels, so vectors as near to two
     centres but for the last digits may go to the other one.
     """
@@ -120,16 +133,13 @@ def spread_kmeans(rows: DataFrame, k: int, rounds: int = 25) -> DataFrame:
         if not active:
             break
         found = _pass(rows, sizes, Round, active)
-        for s, (sums, counts, first, changed, _, nearest) in found.items():
+        for s, (sums, counts, first, changed) in found.items():
             now = active[s][0]
             used[s], ranks[s] = now, np.zeros(len(now), np.int64)
             for rank, c in enumerate(sorted(first, key=first.get)):
                 ranks[s][c] = rank
-            empty, lengths = counts == 0, np.linalg.norm(sums, axis=1)
-            move = (lengths > EPSILON) & ~empty
             new = now.copy()
-            new[move] = sums[move] / lengths[move, None]
-            new[empty] = nearest
+            moved(new, sums, counts, lambda s=s, new=new: _pass(rows, sizes, Nearest, {s: new})[s][1])
             active[s] = (new, now)
             if not changed:
                 del active[s]

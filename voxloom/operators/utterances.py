@@ -170,24 +170,24 @@ def with_names(df: DataFrame, labels: DataFrame, word: str = "说话人", unknow
 
 
 def render_dialogue(utterances: DataFrame, labels: DataFrame) -> DataFrame:
-    """(session_id, first_seg, block): '[MM:SS] name:' with a mark for overlap, and the text below; a row per utterance."""
+    """(session_id, first_seg, start_ms, block): '[MM:SS] name:' with a mark for overlap, and the text below; a row per utterance."""
     rows = with_names(utterances, labels, unknown="—", by="first_seg")
     mark = F.when(F.col("overlapped"), F.lit(" ⟂")).otherwise(F.lit(""))
-    return rows.select("session_id", "first_seg", F.concat(F.lit("["), format_time_short("start_ms"), F.lit("] "), "name", mark, F.lit(":\n"), trim_white("text")).alias("block"))
+    return rows.select("session_id", "first_seg", "start_ms", F.concat(F.lit("["), format_time_short("start_ms"), F.lit("] "), "name", mark, F.lit(":\n"), trim_white("text")).alias("block"))
 
 
 def render_plain(utterances: DataFrame, labels: DataFrame) -> DataFrame:
-    """(session_id, first_seg, block): 'name:text', or the text alone without a speaker."""
+    """(session_id, first_seg, start_ms, block): 'name:text', or the text alone without a speaker."""
     rows = with_names(utterances, labels, by="first_seg")
-    return rows.select("session_id", "first_seg", F.concat(F.when(F.col("name").isNull(), F.lit("")).otherwise(F.concat("name", F.lit(":"))), trim_white("text")).alias("block"))
+    return rows.select("session_id", "first_seg", "start_ms", F.concat(F.when(F.col("name").isNull(), F.lit("")).otherwise(F.concat("name", F.lit(":"))), trim_white("text")).alias("block"))
 
 
 def render_srt(utterances: DataFrame, labels: DataFrame) -> DataFrame:
-    """(session_id, first_seg, block): numbered SubRip cues."""
+    """(session_id, first_seg, start_ms, block): numbered SubRip cues."""
     rows = with_names(numbered(utterances), labels, by="first_seg")
     who = F.when(F.col("name").isNull(), F.lit("")).otherwise(F.concat("name", F.lit(":")))
     times = F.concat(format_srt("start_ms"), F.lit(" --> "), format_srt("end_ms"))
-    return rows.select("session_id", "first_seg", F.concat(F.col("utt_no").cast("string"), F.lit("\n"), times, F.lit("\n"), who, trim_white("text")).alias("block"))
+    return rows.select("session_id", "first_seg", "start_ms", F.concat(F.col("utt_no").cast("string"), F.lit("\n"), times, F.lit("\n"), who, trim_white("text")).alias("block"))
 
 
 def render_timeline(segments: DataFrame, labels: DataFrame) -> DataFrame:
@@ -234,3 +234,32 @@ def repair_timeline(raw: DataFrame, width: int = 1 << 16) -> DataFrame:
         *K, "pos", F.when(F.col("_fine"), F.col("_start")).otherwise(spread(F.col("_sum") - F.col("_share"))).alias("start_ms"),
         F.when(F.col("_fine"), F.col("end_ms")).otherwise(spread(F.col("_sum"))).alias("end_ms"), "text",
     )
+
+
+RENDERERS = {"dialogue": render_dialogue, "plain": render_plain, "srt": render_srt}
+
+
+def render(kind: str, segments: DataFrame, labels: DataFrame) -> DataFrame:
+    """(session_id, first_seg, start_ms, block): the blocks of a view of transcripts: dialogue, plain, srt or timeline."""
+    if kind == "timeline":
+        rows = segments.where("start_ms is not null").groupBy("seg_id").agg(F.min("start_ms").alias("start_ms")).withColumnRenamed("seg_id", "first_seg")
+        return render_timeline(segments, labels).withColumnRenamed("seg_id", "first_seg").join(rows, "first_seg").select("session_id", "first_seg", "start_ms", "block")
+    if kind not in RENDERERS:
+        raise ValueError(f"no view {kind}: use timeline, {', '.join(RENDERERS)}")
+    return RENDERERS[kind](merge_utterances(segments), labels)
+
+
+def documents_of(blocks: DataFrame, between: str = "\\n\\n", most_chars: int = 1_000_000, width: int = SLICE_MS) -> DataFrame:
+    """(session_id, part, blocks, text): the blocks of each session by start_ms and first_seg, joined to one text, or to numbered parts.
+
+    A block begins part n if n * most_chars characters or more lie before it, so a
+    part is longer than most_chars by one block at most, however long a session is;
+    the session's text is that of its parts, with between between them.
+    """
+    order = ["start_ms", "first_seg"]
+    rows = blocks.where(F.col("session_id").isNotNull() & F.col("start_ms").isNotNull()).select(*K, *order, "block")
+    rows = sliced(rows.withColumn("_size", (F.length("block") + len(between)).cast("long")), K, "start_ms", width)
+    rows = running_sum(rows, K, order, "_size", "_upto")
+    rows = rows.withColumn("part", F.expr(f"(_upto - _size) div {int(most_chars)}"))
+    out = rows.groupBy(*K, "part").agg(F.array_sort(F.collect_list(F.struct(*order, "block"))).alias("_x"))
+    return out.select(*K, "part", F.size("_x").cast("long").alias("blocks"), F.array_join(F.transform("_x", lambda x: x["block"]), between).alias("text"))

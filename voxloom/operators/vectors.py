@@ -45,19 +45,19 @@ def centroids(samples: DataFrame, keys: list[str], order: str, top_k: int = 0, w
 
     samples: keys, order, vector, start_ms, end_ms, quality. The weight is
     quality, at least 0.001, times the root of the seconds, within 0.5 and 60. Of
-    equal quality those first by order count. Samples with null or empty vectors
-    are left out; so are those whose length differs from that of most, of equally
-    common ones the larger. Groups without samples or direction are absent.
+    equal quality those first by order count. Samples with null vectors are left
+    out; so are, after the choice of the best, those whose length differs from that
+    of the group's first sample by order. Groups without samples or direction, or
+    whose first sample is empty, are absent.
 
     top_k is applied before the shuffle, per task, and sums per place of the
     vector are combined before the shuffle, so hot groups are no burden.
     """
-    rows = samples.where(F.size("vector") > 0)
+    rows = samples.where(F.col("vector").isNotNull())
+    sizes = rows.groupBy(*keys).agg(F.min_by(F.size("vector"), order).alias("_size"))
     if top_k:
         w = Window.partitionBy(*keys).orderBy(F.coalesce("quality", F.lit(0.0)).desc(), order)
         rows = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= top_k)
-    sizes = rows.groupBy(*keys, F.size("vector").alias("_size")).count()
-    sizes = sizes.groupBy(*keys).agg(F.max(F.struct("count", "_size")).alias("_m")).select(*keys, F.col("_m._size").alias("_size"))
     rows = rows.join(sizes, keys).where(F.size("vector") == F.col("_size"))
     seconds = F.greatest(F.least((F.coalesce(F.col("end_ms") - F.col("start_ms"), F.lit(0))) / 1000.0, F.lit(60.0)), F.lit(0.5))
     weight = F.greatest(F.coalesce("quality", F.lit(0.0)).cast("double"), F.lit(1e-3)) * F.sqrt(seconds) if weighted else F.lit(1.0)
@@ -128,6 +128,22 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.where(lengths > EPSILON, np.clip(a @ b.T / lengths, -1, 1), 0.0)
 
 
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The vector nearest to any centre, the last of equal ones."""
+    near = _cosines(x, centres).max(axis=1)
+    return x[len(near) - 1 - int(near[::-1].argmax())]
+
+
+def moved(centres: np.ndarray, sums: np.ndarray, counts: np.ndarray, seed) -> None:
+    """Move centres, one after the other, to the direction of their vectors; one without vectors goes to seed(), the vector nearest to the centres as they are by then."""
+    for c, n in enumerate(counts):
+        length = np.linalg.norm(sums[c])
+        if not n:
+            centres[c] = seed()
+        elif length > EPSILON:
+            centres[c] = sums[c] / length
+
+
 def kmeans_labels(x: np.ndarray, k: int, rounds: int = 25) -> np.ndarray:
     """Clusters by cosine, without chance: the first centre is the first vector, each next one the vector farthest from all
     centres (the last of equal ones); in each round vectors go to the nearest centre (the first of equal ones)."""
@@ -143,39 +159,54 @@ def kmeans_labels(x: np.ndarray, k: int, rounds: int = 25) -> np.ndarray:
         stable, labels = (now == labels).all(), now
         sums = np.zeros_like(centres)
         np.add.at(sums, labels, x)
-        empty = np.bincount(labels, minlength=k) == 0
-        if empty.any():
-            near = _cosines(x, centres).max(axis=1)
-            sums[empty] = x[len(near) - 1 - int(near[::-1].argmax())]
-        lengths = np.linalg.norm(sums, axis=1)
-        move = (lengths > EPSILON) & ~empty
-        centres[move] = sums[move] / lengths[move, None]
-        centres[empty] = sums[empty]
+        moved(centres, sums, np.bincount(labels, minlength=k), lambda: nearest(x, centres))
         if stable:
             break
     return first_appearance(labels)
 
 
 def agglomerate_labels(x: np.ndarray, threshold: float = 0.62, least: int = 2, most: int = 8) -> np.ndarray:
-    """Clusters merged by the cosine of their centres, the closest pair first, down to least while threshold is reached, and to most in any case."""
-    labels = np.arange(len(x))
-    sums, alive = x.astype(np.float64).copy(), np.ones(len(x), bool)
-    near = _cosines(sums, sums)
-    near[np.tril_indices(len(x))] = -np.inf
-    while (n := int(alive.sum())) > least:
-        i, j = divmod(int(near.argmax()), len(x))
-        if near[i, j] < threshold and n <= most or not np.isfinite(near[i, j]):
+    """Clusters merged by the cosine of their centres, the closest pair first, down to least while threshold is reached, and to most in any case.
+
+    Of equally close pairs the first. Of each cluster only its closest later one is
+    held, so memory grows with the vectors and not with their pairs; after a merge
+    those are sought anew whose closest one has changed.
+    """
+    n = len(x)
+    labels, sums, alive = np.arange(n), x.astype(np.float64).copy(), np.ones(n, bool)
+    best, near = np.full(n, -np.inf), np.full(n, -1)
+
+    def seek(i: int) -> None:
+        rest = np.flatnonzero(alive[i + 1 :]) + i + 1
+        best[i], near[i] = -np.inf, -1
+        if len(rest):
+            found = _cosines(sums[i : i + 1], sums[rest])[0]
+            at = int(found.argmax())
+            best[i], near[i] = found[at], rest[at]
+
+    for i in range(n):
+        seek(i)
+    while (left := int(alive.sum())) > least:
+        i = int(best.argmax())
+        if not np.isfinite(best[i]) or best[i] < threshold and left <= most:
             break
+        j = int(near[i])
         sums[i] += sums[j]
         labels[labels == j] = i
-        alive[j] = False
-        near[j], near[:, j] = -np.inf, -np.inf
-        row = np.where(alive, _cosines(sums[i : i + 1], sums)[0], -np.inf)
-        near[i, i + 1 :], near[:i, i] = row[i + 1 :], row[:i]
+        alive[j], best[j], near[j] = False, -np.inf, -1
+        seek(i)
+        for k in np.flatnonzero(alive & ((near == j) | (near == i))):
+            if k != i:
+                seek(int(k))
+        before = np.flatnonzero(alive[:i])
+        if len(before):
+            now = _cosines(sums[i : i + 1], sums[before])[0]
+            better = (now > best[before]) | ((now == best[before]) & (near[before] > i))
+            best[before[better]], near[before[better]] = now[better], i
     return first_appearance(labels)
 
 
-def cluster_sessions(embeddings: DataFrame, k: int | None = None, most_items: int = 20_000) -> DataFrame:
+def cluster_sessions(embeddings: DataFrame, k: int | None = None, most_items: int = 100_000) -> DataFrame:
     """(session_id, emb_id, cluster): clusters of each session's vectors, with k of them or, without k, by agglomeration.
 
     Vectors that are null, empty or of another length than the session's first are
@@ -204,3 +235,10 @@ def cluster_sessions(embeddings: DataFrame, k: int | None = None, most_items: in
     small = rows.where(~F.col("session_id").isin(large)) if large else rows
     out = small.groupBy("session_id").applyInPandas(label, "session_id string, emb_id long, cluster long")
     return out.unionByName(spread_kmeans(rows.where(F.col("session_id").isin(large)), k)) if large else out
+
+
+def cluster_stats(embeddings: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(session_id, cluster, talk_time_ms, segment_count) of vectors (emb_id, session_id, start_ms, end_ms) with a cluster (emb_id, cluster), each once."""
+    spent = F.greatest(F.coalesce(F.col("end_ms") - F.col("start_ms"), F.lit(0)), F.lit(0))
+    rows = embeddings.select("emb_id", "session_id", spent.alias("_ms")).join(assigned.select("emb_id", "cluster"), "emb_id")
+    return rows.groupBy("session_id", "cluster").agg(F.sum("_ms").alias("talk_time_ms"), F.count("*").alias("segment_count"))

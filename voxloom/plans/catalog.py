@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.plans import files, general, recordings
+from voxloom.plans import files, general, profiles, recordings, sync, texts
+
+_MODULES = (general, recordings, files, sync, texts, profiles)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**general.QUERIES, **recordings.QUERIES, **files.QUERIES}
+    return {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**general.ORACLE, **recordings.ORACLE, **files.ORACLE}
+    return {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

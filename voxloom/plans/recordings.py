@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.packing import pack_lines
-from voxloom.functions.text import blank, content_key, estimate_tokens, format_srt, format_time, format_time_short, slugify
+from voxloom.functions.text import blank, estimate_tokens, format_srt, format_time, format_time_short, slugify
 from voxloom.operators.listings import insert_missing, upsert
 from voxloom.operators.overlap import annotate_segments, assign_speaker
 from voxloom.operators.utterances import merge_utterances, numbered, render_dialogue, render_plain, render_srt, render_timeline, repair_timeline, with_names
-from voxloom.operators.vectors import centroids, cluster_sessions, cosine, identify
+from voxloom.operators.vectors import centroids, cluster_sessions, cluster_stats, cosine, identify
 from voxloom.sources import table
 from voxloom.sources.files import even_segments
 from voxloom.sources.wav import duration_ms, peak, rms
@@ -32,7 +32,7 @@ def w9_numbered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r1_dialogue(spark: SparkSession, d: str) -> DataFrame:
-    return render_dialogue(w1_utterances(spark, d), table(spark, d, "speaker_labels"))
+    return render_dialogue(w1_utterances(spark, d), table(spark, d, "speaker_labels")).drop("start_ms")
 
 
 def r2_timeline(spark: SparkSession, d: str) -> DataFrame:
@@ -40,11 +40,11 @@ def r2_timeline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r3_plain(spark: SparkSession, d: str) -> DataFrame:
-    return render_plain(w1_utterances(spark, d), table(spark, d, "speaker_labels"))
+    return render_plain(w1_utterances(spark, d), table(spark, d, "speaker_labels")).drop("start_ms")
 
 
 def r4_srt(spark: SparkSession, d: str) -> DataFrame:
-    return render_srt(w1_utterances(spark, d), table(spark, d, "speaker_labels"))
+    return render_srt(w1_utterances(spark, d), table(spark, d, "speaker_labels")).drop("start_ms")
 
 
 def j1_assign_speaker(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +99,7 @@ def a5_centroids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j4_identify(spark: SparkSession, d: str) -> DataFrame:
-    voices = table(spark, d, "voice_embeddings").where("size(vector) = 8").dropDuplicates(["emb_id"]).select("session_id", "emb_id", "vector", "start_ms", "end_ms", "quality")
+    voices = table(spark, d, "voice_embeddings").dropDuplicates(["emb_id"]).select("session_id", "emb_id", "vector", "start_ms", "end_ms", "quality")
     sessions = centroids(voices, ["session_id"], "emb_id", 8)
     profiles = centroids(voices.withColumn("profile", F.left("session_id", F.lit(1))), ["profile"], "emb_id", 0, weighted=False)
     return identify(sessions, profiles, "session_id", "profile").select("session_id", "profile", F.round("similarity", 5).alias("similarity"), "confidence")
@@ -111,7 +111,18 @@ def f50_cosine(spark: SparkSession, d: str) -> DataFrame:
 
 
 def k2_kmeans(spark: SparkSession, d: str) -> DataFrame:
-    return cluster_sessions(table(spark, d, "voice_embeddings"), 3, most_items=1_000_000)
+    return cluster_sessions(table(spark, d, "voice_embeddings"), 3)
+
+
+def k1_auto(spark: SparkSession, d: str) -> DataFrame:
+    return cluster_sessions(table(spark, d, "voice_embeddings"))
+
+
+def a2_cluster_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Talk time per cluster of the vectors, by an assignment as a table: here that of the first value's sign."""
+    rows = table(spark, d, "voice_embeddings").dropDuplicates(["emb_id"])
+    assigned = rows.select("emb_id", F.when(F.get("vector", F.lit(0)) > 0, 1).otherwise(0).cast("long").alias("cluster"))
+    return cluster_stats(rows, assigned)
 
 
 def w4_timeline(spark: SparkSession, d: str) -> DataFrame:
@@ -147,11 +158,6 @@ def f40_times(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("seg_id", format_time("start_ms").alias("clock"), format_time_short("start_ms").alias("short"), format_srt("start_ms").alias("srt"))
 
 
-def f71_cache_keys(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "transcripts").select("session_id", "model", "backend", "spoken_language").distinct()
-    return rows.select("session_id", content_key("session_id", F.coalesce("model", F.lit("-")), "backend", F.coalesce("spoken_language", F.lit("auto"))).alias("key"))
-
-
 def q1_upsert_labels(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "speaker_labels").select(F.concat_ws("#", "session_id", "speaker_id").alias("id"), "labels_version", "display_name", "color").distinct()
     first = rows.groupBy("id").agg(F.min("labels_version").alias("v"), F.max("labels_version").alias("w"))
@@ -160,11 +166,6 @@ def q1_upsert_labels(spark: SparkSession, d: str) -> DataFrame:
     return upsert(take("v"), take("w"), "id", keep=["color"])
 
 
-def q28_label_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "speaker_labels").distinct()
-    return rows.groupBy("profile_id").agg(F.count("*").alias("labels"), F.count_distinct("session_id").alias("sessions"))
-
-
 def t1_newest_sessions(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "transcripts").select("session_id", "engine", F.unix_millis("created_at").alias("created_ms")).distinct()
     return rows.orderBy(F.desc("created_ms"), "session_id").limit(20)
@@ -191,7 +192,7 @@ def st2_talk_time(spark: SparkSession, d: str) -> DataFrame:
     return talk_time(rows, "at").select("session_id", "speaker_id", F.unix_millis("start").alias("hour_ms"), "talk_ms", "segments")
 
 
-_NAMES = "w1_utterances w9_numbered r1_dialogue r2_timeline r3_plain r4_srt j1_assign_speaker j2_annotate_segments j5_display_names j6_missing_labels j10_sessions a1_speaker_stats a3_talk_time a4_speaker_counts a5_centroids j4_identify f50_cosine k2_kmeans w4_timeline w6_compact_ids w13_packed f1_tokens f4_slugs f40_times f71_cache_keys q1_upsert_labels q28_label_counts t1_newest_sessions s29_even_segments a19_sound st1_speech_sessions st2_talk_time"
+_NAMES = "w1_utterances w9_numbered r1_dialogue r2_timeline r3_plain r4_srt j1_assign_speaker j2_annotate_segments j5_display_names j6_missing_labels j10_sessions a1_speaker_stats a3_talk_time a4_speaker_counts a5_centroids j4_identify f50_cosine k2_kmeans k1_auto a2_cluster_stats w4_timeline w6_compact_ids w13_packed f1_tokens f4_slugs f40_times q1_upsert_labels t1_newest_sessions s29_even_segments a19_sound st1_speech_sessions st2_talk_time"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _W = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -236,7 +237,7 @@ _CENTRE = """select {k}, max(used) as used, list(x order by place) as v from (
     select {k}, unnest({v})::double as v, unnest(range(0, len({v}))) as place, w from ({rows})) group by all) group by all"""
 _WEIGHT = "greatest(coalesce({q}, 0)::double, 0.001) * sqrt(greatest(least(coalesce({e} - {s}, 0) / 1000.0, 60.0), 0.5))"
 _UNIT = "list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y))))"
-_VOICES = "(select distinct on (emb_id) * from voice_embeddings where len(vector) = 8)"
+_VOICES = "(select distinct on (emb_id) * from voice_embeddings where vector is not null)"
 _LEN = "greatest(length({0}), 1)"
 
 ORACLE = {
@@ -258,7 +259,8 @@ left join (select session_id, count(distinct speaker_id) as labels, max(labels_v
     "a3_talk_time": "select session_id, speaker_id, sum(greatest(coalesce(end_ms - start_ms, 0), 0)) as talk_time_ms, count(*) as segment_count, count_if(overlapped) as overlapped_count from (select distinct seg_id, session_id, speaker_id, start_ms, end_ms, overlapped from segments where speaker_id is not null) group by all",
     "a4_speaker_counts": "select session_id, max(speaker_id) + 1 as by_largest, count(distinct speaker_id) as by_distinct from speaker_intervals where speaker_id is not null group by 1",
     "a5_centroids": "select label, used, unnest(range(0, len(v))) as place, round(unnest(" + _UNIT + "), 5) as x from (" + _CENTRE.format(k="label", v="embedding", rows="select *, " + _WEIGHT.format(q="((1 + vec_id % 10) / 10)", s="0", e="(1000 + vec_id % 20 * 500)") + " as w from (select *, row_number() over (partition by label order by (1 + vec_id % 10) desc, vec_id) as k from embeddings) where k <= 8") + ")",
-    "j4_identify": "with c as (select session_id, " + _UNIT + " as v from (" + _CENTRE.format(k="session_id", v="vector", rows="select *, " + _WEIGHT.format(q="quality", s="start_ms", e="end_ms") + " as w from (select *, row_number() over (partition by session_id order by coalesce(quality, 0) desc, emb_id) as k from " + _VOICES + ") where k <= 8") + ")), p as (select profile, " + _UNIT + " as v from (" + _CENTRE.format(k="profile", v="vector", rows="select *, left(session_id, 1) as profile, 1.0 as w from " + _VOICES) + ")), m as (select session_id, profile, list_sum(list_transform(range(1, 9), lambda i: c.v[i] * p.v[i])) as s from c, p), b as (select *, row_number() over (partition by session_id order by s desc, profile) as k from m) select session_id, case when s >= 0.55 then profile end as profile, round(s, 5) as similarity, case when s >= 0.72 then 'confirmed' when s >= 0.55 then 'uncertain' else 'new' end as confidence from b where k = 1",
+    "j4_identify": f"with c as (select session_id, {_UNIT} as v from (" + _CENTRE.format(k="session_id", v="vector", rows="select *, " + _WEIGHT.format(q="quality", s="start_ms", e="end_ms") + " as w from (select *, row_number() over (partition by session_id order by coalesce(quality, 0) desc, emb_id) as k, arg_min(len(vector), emb_id) over (partition by session_id) as n from " + _VOICES + ") where k <= 8 and len(vector) = n") + f")), p as (select profile, {_UNIT} as v from (" + _CENTRE.format(k="profile", v="vector", rows="select *, left(session_id, 1) as profile, 1.0 as w, arg_min(len(vector), emb_id) over (partition by left(session_id, 1)) as n from " + _VOICES + " qualify len(vector) = n") + ")), u as (select * from c where list_sum(list_transform(v, lambda y: y * y)) > 0.5), m as (select session_id, profile, list_sum(list_transform(range(1, len(c.v) + 1), lambda i: c.v[i] * p.v[i])) as s from u c join p on len(c.v) = len(p.v)), b as (select *, row_number() over (partition by session_id order by s desc, profile) as k from m), r as (select u.session_id, b.profile, coalesce(b.s, 0) as s from u left join b on b.session_id = u.session_id and k = 1) select session_id, case when s >= 0.55 then profile end as profile, round(s, 5) as similarity, case when s >= 0.72 then 'confirmed' when s >= 0.55 then 'uncertain' else 'new' end as confidence from r",
+    "a2_cluster_stats": "with e as (select distinct on (emb_id) *, case when vector[1] > 0 then 1 else 0 end as cluster from voice_embeddings) select session_id, cluster, sum(greatest(coalesce(end_ms - start_ms, 0), 0)) as talk_time_ms, count(*) as segment_count from e group by all",
     "f50_cosine": f"with r as (select {REFERENCE_VECTOR}::double[] as q), x as (select distinct emb_id, vector::double[] as v from voice_embeddings) select emb_id, round(case when len(v) = 8 and list_sum(list_transform(v, lambda y: y * y)) > 1e-13 then greatest(-1.0, least(1.0, list_sum(list_transform(range(1, 9), lambda i: v[i] * q[i])) / sqrt(list_sum(list_transform(v, lambda y: y * y))) / sqrt(list_sum(list_transform(q, lambda y: y * y))))) else 0.0 end, 6) + 0.0 as similarity from x, r",
     "w4_timeline": f"""with s as (select distinct session_id, seg_id as pos, greatest(coalesce(end_ms, 0), 0) as end_ms, length({_trim("text")}) as n from segments where {_trim("text")} <> ''),
 l as (select *, coalesce(lag(end_ms) over (partition by session_id order by pos), 0) as start_ms from s),
@@ -270,9 +272,7 @@ select session_id, pos, case when fine then start_ms else least(all_ms, upto - s
     "f1_tokens": r"select doc_id, w + ceil((length(text) - w) / 4.0)::bigint as tokens, length(text) as chars from (select doc_id, text, length(text) - length(regexp_replace(text, '[\x{4E00}-\x{9FFF}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}]', '', 'g')) as w from documents)",
     "f4_slugs": r"""select doc_id, case when s = '' then 'untitled' else s end as slug from (select doc_id, trim(left(regexp_replace(trim(regexp_replace(regexp_replace(coalesce(url, ''), '[<>:"/\\|?*\x00-\x1f]', ' ', 'g'), '\s+', ' ', 'g')), '\.+$', ''), 60)) as s from documents)""",
     "f40_times": f"select seg_id, {_CLOCK.format('start_ms')} as clock, {_SHORT.format('start_ms')} as short, {_SRT.format('start_ms')} as srt from (select distinct seg_id, start_ms from segments)",
-    "f71_cache_keys": "select session_id, sha256(session_id || '|' || coalesce(model, '-') || '|' || coalesce(backend, '') || '|' || coalesce(spoken_language, 'auto')) as key from (select distinct session_id, model, backend, spoken_language from transcripts)",
     "q1_upsert_labels": "with r as (select session_id || '#' || speaker_id as id, labels_version, display_name, color, min(labels_version) over w as v, max(labels_version) over w as u from speaker_labels window w as (partition by session_id, speaker_id)) select id, max(labels_version) filter (labels_version = u) as labels_version, max(display_name) filter (labels_version = u) as display_name, max(color) filter (labels_version = v) as color from r group by id",
-    "q28_label_counts": "select profile_id, count(*) as labels, count(distinct session_id) as sessions from (select distinct * from speaker_labels) group by 1",
     "t1_newest_sessions": "select distinct session_id, engine, epoch_ms(created_at) as created_ms from transcripts order by created_ms desc, session_id limit 20",
     "s29_even_segments": "select session_id, s as start_ms, least(s + 60000, n) as end_ms from (select session_id, n, unnest(range(0, n, 60000)) as s from (select session_id, max(duration_ms) as n from transcripts group by 1) where n > 0)",
     "a19_sound": "select session_id, idx, round(coalesce(list_max(list_transform(samples, lambda v: abs(v)))::double, 0), 5) as peak, round(case when len(samples) > 0 then sqrt(list_sum(list_transform(samples, lambda v: v::double * v::double)) / len(samples)) else 0 end, 5) as rms, case when sample_rate > 0 and channels > 0 then len(samples) // channels * 1000 // sample_rate else 0 end as duration_ms from (select distinct on (session_id, idx) * from audio_chunks where samples is not null)",

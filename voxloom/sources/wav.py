@@ -102,12 +102,24 @@ def duration_ms(samples: str, rate: str, channels: str) -> Column:
     return F.when(usable, F.floor(frames * 1000 / F.when(F.col(rate) > 0, F.col(rate)))).otherwise(F.lit(0)).cast("long")
 
 
-def resample(samples: np.ndarray, old: int, new: int) -> np.ndarray:
-    """Linear interpolation to round(n * new / old) samples."""
-    if old == new or not len(samples) or old <= 0:
-        return np.asarray(samples, np.float32)
-    places = np.arange(round(len(samples) * new / old)) * (old / new)
-    return np.interp(places, np.arange(len(samples)), samples).astype(np.float32)
+def resampled(samples: str, old: str | Column, new: str | Column) -> Column:
+    """Linear interpolation to round(n * new / old) samples, which keep the last value beyond the end; the samples if the rate stays."""
+    x, a, b = F.col(samples), *(F.col(r) if isinstance(r, str) else r for r in (old, new))
+    step = a.cast("double") / b.cast("double")
+    n = F.floor(F.size(x) * (b.cast("double") / a.cast("double")) + 0.5).cast("int")
+
+    def at(i: Column) -> Column:
+        first = F.floor(i * step).cast("int")
+        low, high = (F.get(x, first + k).cast("double") for k in (0, 1))
+        return F.when(first + 1 < F.size(x), low + (high - low) * (i * step - first)).otherwise(F.element_at(x, -1).cast("double"))
+
+    return F.when((a == b) | (F.size(x) == 0), F.transform(x, lambda v: v.cast("double"))).when((a > 0) & (b > 0) & (n > 0), F.transform(F.sequence(F.lit(0), n - 1), at))
+
+
+def sliced_ms(samples: str, rate: str, channels: str, start: Column, end: Column) -> Column:
+    """The samples between two times in ms, whole frames, cut off at the end."""
+    place = lambda t: (F.floor(t * F.col(rate) / 1000) * F.col(channels)).cast("int")
+    return F.slice(samples, place(start) + 1, F.greatest(F.least(place(end), F.size(samples)) - place(start), F.lit(0)))
 
 
 def plan_cuts(samples: np.ndarray, rate: int, target_ms: int, window_ms: int = 50) -> list[tuple[int, int]]:
@@ -133,3 +145,13 @@ def plan_cuts(samples: np.ndarray, rate: int, target_ms: int, window_ms: int = 5
         out.append((at, cut))
         at = cut
     return out
+
+
+def cuts_of(mono: Column, rate: str, target_ms: int, window_ms: int = 50) -> Column:
+    """plan_cuts as a column of (start_ms, end_ms)."""
+
+    def run(samples: pd.Series, rates: pd.Series) -> pd.Series:
+        found = [[] if x is None else plan_cuts(np.asarray(x, np.float64), int(r), target_ms, window_ms) for x, r in zip(samples, rates)]
+        return pd.Series([[{"start_ms": a, "end_ms": b} for a, b in cuts] for cuts in found], dtype=object)
+
+    return F.pandas_udf(run, "array<struct<start_ms: long, end_ms: long>>")(mono, F.col(rate))
