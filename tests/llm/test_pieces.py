@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -48,6 +49,29 @@ def test_texts():
     cover(text_pieces(big)[0], len(big), 4000, 200)
 
 
+def test_no_avoidable_cut_at_the_start():
+    text = "x" * 3900 + ". " + "hello world. " * 50
+    places, forced = text_pieces(text)
+    cover(places, len(text), 4000, 200)
+    assert forced == 0 and places[0][1] >= 3902 and all(text[b - 1] == " " for _, b in places[:-1])
+    places, forced = text_pieces("x" * 4000 + " y" * 900)
+    assert forced == 0 and places[0] == (0, 4000)
+    sound = np.full(5000, 0.5)
+    sound[2960:2990] = 0
+    places, forced = audio_pieces(sound, 100, 1)
+    cover(places, 5000, 3000, 100)
+    assert forced == 0 and places[0] == (0, 2975)
+
+
+def test_forced_is_told_from_the_cuts():
+    rng = random.Random(6)
+    for _ in range(80):
+        text = "".join(rng.choice(["ab ", "c.", "\n", "x" * rng.choice([30, 95, 100, 101, 240])]) for _ in range(rng.randint(3, 60)))
+        places, forced = text_pieces(text, 100, 10)
+        assert forced == int(len(text) > 100 and any(len(run) > 100 for run in re.split(r"[\s.]", text)))
+        cover(places, len(text), 100, 10) if text else None
+
+
 def test_audio():
     loud = np.full(3100, 0.5)
     assert audio_pieces(np.zeros(0), 100, 1) == ([], 0) and audio_pieces(loud, 0, 1) == ([], 0) and audio_pieces(loud[:3000], 100, 1) == ([(0, 3000)], 0)

@@ -3,13 +3,26 @@
 from __future__ import annotations
 
 import heapq
-from math import ceil, floor
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096  # of the order within a source
 MAX_SOURCES = 10_000
+SLOTS = (4096, 1 << 18)  # of the schedule, at least and at most
+SLOT_TOKENS = 1 << 24  # of a slot, as far as SLOTS allow
+BUCKET_BITS = (12, 24)  # of the order within a source, at least and at most
+BUCKET_TOKENS = 1 << 27  # of a bucket, as far as BUCKET_BITS allow
+
+
+def slots_for(tokens: float) -> int:
+    """Slots of a schedule of so many tokens."""
+    return int(min(max(tokens // SLOT_TOKENS, SLOTS[0]), SLOTS[1]))
+
+
+def bucket_bits_for(tokens: float) -> int:
+    """Bits of the number of buckets for so many tokens."""
+    return min(max(int(tokens // BUCKET_TOKENS).bit_length(), BUCKET_BITS[0]), BUCKET_BITS[1])
 
 
 def plain_source(column: str) -> Column:
@@ -38,31 +51,32 @@ def quotas(targets: dict[str, tuple[float, float]], total: int) -> dict[str, flo
 
 
 def pfair(blocks: dict[str, float], slots_limit: int = 1 << 20) -> list[tuple[str, int]]:
-    """An order of blocks, as (source, number), in which no source is ever a block or more off its share.
-
-    blocks: how many blocks of each source, not necessarily whole. Block j of a
-    source with share w is released at slot floor(j / w) and due at slot
-    ceil((j + 1) / w); each slot takes the released block that is due first, of
-    equal ones that of the source with the larger share, then by name. With
-    nothing released the next release is taken.
+    """An order of blocks, as (source, number), in which no source is ever a block or more off its share of the slots.
+
+    blocks: how many blocks of each source; a part of one counts as a block. A
+    source's share w is that of its blocks in all of them, a fraction. Its block j
+    is released at slot floor(j / w) and due at slot ceil((j + 1) / w); each slot
+    takes the released block that is due first, of equal ones that of the source
+    with the larger share, then by name. Such windows can be kept by one at a time
+    if the shares add up to 1, and the earliest deadline first keeps them.
     """
-    total = sum(blocks.values())
     counts = {s: ceil(n - 1e-9) for s, n in blocks.items() if n > 0}
-    if sum(counts.values()) > slots_limit:
+    total = sum(counts.values())
+    if total > slots_limit:
         raise ValueError("more blocks than slots_limit: make blocks larger")
-    share = {s: blocks[s] / total for s in counts}
+    share = counts
     waiting = [(0, s, 0) for s in sorted(counts)]
     heapq.heapify(waiting)
-    ready: list[tuple[int, float, str, int]] = []
+    ready: list[tuple[int, int, str, int]] = []
     out = []
     while waiting or ready:
         while waiting and (waiting[0][0] <= len(out) or not ready):
             _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (ceil((j + 1) / share[s] - 1e-9), -share[s], s, j))
+            heapq.heappush(ready, (-(-(j + 1) * total // share[s]), -share[s], s, j))
         _, _, s, j = heapq.heappop(ready)
         out.append((s, j))
         if j + 1 < counts[s]:
-            heapq.heappush(waiting, (floor((j + 1) / share[s] + 1e-9), s, j + 1))
+            heapq.heappush(waiting, ((j + 1) * total // share[s], s, j + 1))
     return out
 
 
@@ -70,7 +84,7 @@ def mixture(
     counted: DataFrame,
     targets: DataFrame,
     size: int | None = None,
-    slots: int = 4096,
+    slots: int | None = None,
     seed: int = 42,
     doc_id: str = "doc_id",
     source: str = "source",
@@ -95,15 +109,15 @@ def mixture(
 
     Method: pfair scheduling over blocks of size / slots tokens, but at least eight
     times the largest document, as documents stay whole; see pfair. The
-    schedule has at most slots and a block per source, whatever the corpus, so it
-    is made on the driver and broadcast. The order within a source is that of a
-    hash of doc_id and seed; running sums of tokens are taken per bucket of that
-    order and over the buckets' sums, so a hot source is spread over its buckets.
+    schedule has at most slots and a block per source, by default as many as the
+    tokens call for within SLOTS, so it is made on the driver and broadcast. The
+    order within a source is that of a hash of doc_id and seed; running sums of
+    tokens are taken per bucket of that order, whose number grows with the tokens,
+    and over the buckets' sums, so a hot source is spread over its buckets.
     """
     spark = counted.sparkSession
     docs = counted.select(F.col(doc_id).alias("_id"), plain_source(source).alias("_s"), F.coalesce(F.col(tokens), F.lit(0)).cast("long").alias("_n"))
     docs = docs.withColumn("_h", F.xxhash64("_id", F.lit(seed)))
-    docs = docs.withColumn("_b", F.shiftright("_h", 52) + BUCKETS // 2)
     wanted = targets.select(plain_source("source").alias("_s"), F.col("weight").cast("double").alias("w"), F.col("max_repeats").cast("long").alias("r")).where("_s is not null")
     wanted = wanted.groupBy("_s").agg(F.sum("w").alias("w"), F.max("r").alias("r"))
     rows = wanted.limit(MAX_SOURCES + 1).collect()
@@ -115,6 +129,8 @@ def mixture(
     sums = {x["_s"]: x["n"] for x in known.groupBy("_s").agg(F.sum("_n").alias("n")).collect()}
     if size is None:
         size = docs.agg(F.sum("_n")).first()[0] or 0
+    slots = slots or slots_for(size)
+    known = known.withColumn("_b", F.shiftright("_h", 64 - bucket_bits_for(sum(sums.values()))))
     quota = quotas({s: (w, sums.get(s, 0) * r) for s, (w, r) in weights.items()}, size)
     largest = known.agg(F.max("_n")).first()[0] or 1
     block = max(sum(quota.values()) / slots, 8.0 * largest)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,23 +54,25 @@ def merge_weakest(sizes: list[int], strengths: list[float], limit: int) -> list[
     return [i for i in range(n) if alive[i]]
 
 
-def _text_atoms(text: str, limit: int) -> tuple[list[int], list[int]]:
+def _text_atoms(text: str, limit: int, first: int) -> tuple[list[int], list[int]]:
     """Sizes of atoms, and the strength of the boundary after each.
 
-    A line, sentence or word that fits into limit is one atom: all boundaries in
-    it are weaker than the one at its end and every merge within it fits, so the
-    heap would join it anyway. Only what doesn't fit is taken apart further.
+    A line, sentence or word that fits into limit, or at the start of the text into
+    first, is one atom: all boundaries in it are weaker than the one at its end and
+    every merge within it fits, so the heap would join it anyway. Only what doesn't
+    fit is taken apart further.
     """
     sizes: list[int] = []
     strengths: list[int] = []
 
     def take(part: str, level: int) -> None:
-        if len(part) <= limit:
+        room = limit if sizes else first
+        if len(part) <= room:
             sizes.append(len(part))
             strengths.append(level)
         elif level == INSIDE:
-            for at in range(0, len(part), limit):
-                sizes.append(min(limit, len(part) - at))
+            for at in [0, *range(room, len(part), limit)]:
+                sizes.append(min(limit if at else room, len(part) - at))
                 strengths.append(INSIDE)
         else:
             pattern = {AFTER_LINE: _SENTENCE, AFTER_SENTENCE: _WORD}.get(level)
@@ -91,18 +94,20 @@ def text_pieces(text: str, limit: int = 4000, overlap: int = 200) -> tuple[list[
     """(start, end) of pieces of at most limit code points, and 1 if a cut inside a word is forced.
 
     Each piece but the first repeats the last overlap code points of the one
-    before. forced: more than limit code points in a row hold neither white space
-    nor a stop. A text within limit is one piece, an empty one none.
+    before; the first one may hold as much more of its own. forced: a cut was made
+    in more than limit code points in a row that hold neither white space nor a
+    stop. A text within limit is one piece, an empty one none.
     """
     if not text:
         return [], 0
     if len(text) <= limit:
         return [(0, len(text))], 0
-    forced = int(any(m.end() - m.start() > limit for m in _UNBROKEN.finditer(text)))
-    sizes, strengths = _text_atoms(text, limit - overlap)
-    firsts = merge_weakest(sizes, strengths, limit - overlap)
+    sizes, strengths = _text_atoms(text, limit - overlap, limit)
+    firsts = merge_weakest([sizes[0] - overlap, *sizes[1:]], strengths, limit - overlap)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     edges = [int(starts[i]) for i in firsts] + [len(text)]
+    unbroken = ((m.start(), m.end()) for m in _UNBROKEN.finditer(text) if m.end() - m.start() > limit)
+    forced = int(any(edges[bisect_right(edges, a)] < b for a, b in unbroken))
     return [(max(a - overlap, 0), b) for a, b in zip(edges, edges[1:])], forced
 
 
@@ -123,7 +128,9 @@ def audio_pieces(samples: np.ndarray, rate: int, channels: int, limit_s: float =
 
     Atoms end in the middle of quiet places, whose length is the strength of the
     boundary, and, in a quiet place that is itself too long, after each limit.
-    forced: more than limit_s of frames in a row, outside quiet places, hold none.
+    forced: a cut was made in more than limit_s of frames in a row, outside quiet
+    places, that hold none. The first piece repeats nothing and may hold as much
+    more of its own.
     """
     frames = len(samples) // channels if channels else 0
     limit, overlap = int(limit_s * rate), int(overlap_s * rate)
@@ -132,15 +139,13 @@ def audio_pieces(samples: np.ndarray, rate: int, channels: int, limit_s: float =
     if frames <= limit:
         return [(0, frames)], 0
     first, behind = quiet_places(samples, rate, channels)
-    loud = np.concatenate([first, [frames]]) - np.concatenate([[0], behind])
-    forced = int((loud > limit).any())
     cuts = {int(m): float(n) for m, n in zip((first + behind) // 2, behind - first) if 0 < m < frames}
     core = max(limit - overlap, 1)
     edges = [0]
     for at in [*sorted(cuts), frames]:
         inside = np.searchsorted(behind, edges[-1], side="right") < len(first)
-        while at - edges[-1] > core:  # a quiet place may reach further than its middle
-            low, high = edges[-1], edges[-1] + core
+        while at - edges[-1] > (core if edges[-1] else limit):  # a quiet place may reach further than its middle
+            low, high = edges[-1], edges[-1] + (core if edges[-1] else limit)
             near = [min(int(b), high) for a, b in zip(first, behind) if a < high and b > low and a <= high] if inside else []
             step = max((x for x in near if low < x <= high), default=high)
             cuts.setdefault(step, 0.0)
@@ -148,8 +153,10 @@ def audio_pieces(samples: np.ndarray, rate: int, channels: int, limit_s: float =
         if at > edges[-1]:
             edges.append(at)
     sizes = [b - a for a, b in zip(edges, edges[1:])]
-    firsts = merge_weakest(sizes, [cuts.get(b, 0.0) for b in edges[1:]], core)
+    firsts = merge_weakest([sizes[0] - overlap, *sizes[1:]], [cuts.get(b, 0.0) for b in edges[1:]], core)
     marks = [edges[i] for i in firsts] + [frames]
+    loud = zip([0, *behind.tolist()], [*first.tolist(), frames])
+    forced = int(any(b - a > limit and marks[bisect_right(marks, a)] < b for a, b in loud))
     return [(max(a - overlap, 0), b) for a, b in zip(marks, marks[1:])], forced
 
 
@@ -171,6 +178,7 @@ def pieces(transcripts: DataFrame, chunks: DataFrame, limit: int = 4000, overlap
 
     Method: atoms between natural boundaries, adjacent pairs in a heap, weakest
     boundaries merged first while a piece and its overlap stay within the limit.
+    forced is told from the cuts that were made.
     """
     texts = transcripts.where(F.length("raw_text") > limit).select("session_id", "raw_text")
 
