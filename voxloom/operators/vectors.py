@@ -74,18 +74,19 @@ def confidence(similarity: str | Column) -> Column:
     return F.when(x >= 0.72, F.lit("confirmed")).when(x >= 0.55, F.lit("uncertain")).otherwise(F.lit("new"))
 
 
-def identify(clusters: DataFrame, profiles: DataFrame, cluster_key: str, profile_key: str, most_profiles: int = 100_000) -> DataFrame:
+def identify(clusters: DataFrame, profiles: DataFrame, cluster_key: str, profile_key: str, most_profiles: int = 100_000, most_values: int = 1 << 26) -> DataFrame:
     """(cluster_key, profile_key, similarity, confidence): the profile most similar to each cluster's centroid.
 
     Of equally similar profiles the smallest key. profile_key is null for 'new';
     without a profile of the same length similarity is 0. All profiles are held in
-    each task as one matrix, so their number is checked; more than most_profiles
-    are refused. Clusters are compared with it in Arrow batches.
+    each task as one matrix, so their size is checked; more than most_profiles, or
+    most_values values, are refused. Clusters are compared with it in Arrow batches.
     """
     usable = profiles.where((F.size("centroid") > 0) & (norm("centroid") > EPSILON)).select(profile_key, F.transform("centroid", lambda x: x.cast("double")).alias("centroid"))
-    rows = usable.orderBy(profile_key).limit(most_profiles + 1).collect()
-    if len(rows) > most_profiles:
-        raise ValueError(f"more than {most_profiles} profiles")
+    count, values = usable.agg(F.count("*"), F.coalesce(F.sum(F.size("centroid")), F.lit(0))).first()
+    if count > most_profiles or values > most_values:
+        raise ValueError(f"more than {most_profiles} profiles or {most_values} values")
+    rows = usable.orderBy(profile_key).collect()
     by_size: dict[int, tuple[list, np.ndarray]] = {}
     for size in {len(r["centroid"]) for r in rows}:
         own = [r for r in rows if len(r["centroid"]) == size]
