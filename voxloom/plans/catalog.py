@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.plans import files, general, profiles, recordings, sync, texts
+from voxloom.plans import files, general, profiles, recordings, sessions, sync, texts
 
-_MODULES = (general, recordings, files, sync, texts, profiles)
+_MODULES = (general, recordings, files, sync, texts, profiles, sessions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
