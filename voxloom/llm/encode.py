@@ -7,9 +7,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 16  # bytes under the rolling hash
@@ -234,3 +235,14 @@ def count_tokens(df: DataFrame, text: str = "text", vocabulary: str | None = Non
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest)
     return df.select(*rest, F.col(text).cast("string").alias("_text")).mapInArrow(run, f"{schema}, n_tokens long")
+
+
+def decoded(ids: str, vocabulary: str | None = None) -> Column:
+    """The text that ids stand for; null for null."""
+    path = vocabulary or default_vocabulary()
+
+    def run(rows: pd.Series) -> pd.Series:
+        encoding, _ = _encoding(path)
+        return pd.Series([None if x is None else encoding.decode_bytes(list(x)).decode("utf-8", "replace") for x in rows], dtype=object)
+
+    return F.pandas_udf(run, "string")(ids)

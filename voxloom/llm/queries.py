@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voxloom.llm.encode import count_tokens, encode_texts
+from voxloom.llm.encode import count_tokens, decoded, encode_texts
 from voxloom.llm.mixing import mixture
 from voxloom.llm.nearest import nearest_by_ticks
-from voxloom.llm.pieces import pieces
+from voxloom.llm.pieces import STOPS, WHITE, pieces
 from voxloom.llm.quality import text_quality
 from voxloom.llm.turns import spoken_segments, turns
 from voxloom.session import materialize
@@ -39,6 +40,43 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces(table(spark, d, "transcripts"), table(spark, d, "audio_chunks"))
 
 
+def p5_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Of each item cut: whether its pieces are numbered without holes, cover it, keep to the limit and repeat what they should, and whether cuts in words are forced ones."""
+    cut = p5_pieces(spark, d)
+    size = F.when(F.col("item") == "text", F.lit(4000)).otherwise(F.col("_limit"))
+    repeat = F.when(F.col("item") == "text", F.lit(200)).otherwise(F.floor(F.col("_limit") / 30))
+    texts = table(spark, d, "transcripts").select("session_id", "raw_text").dropDuplicates(["session_id"])
+    texts = texts.select(F.lit("text").alias("item"), "session_id", F.lit(-1).cast("long").alias("idx"), F.length("raw_text").cast("long").alias("_n"), F.lit(None).cast("long").alias("_limit"), F.col("raw_text").alias("_text"))
+    sound = table(spark, d, "audio_chunks").where("sample_rate > 0 and samples is not null").dropDuplicates(["session_id", "idx"])
+    sound = sound.select(F.lit("audio").alias("item"), "session_id", "idx", F.floor(F.size("samples") / F.col("channels")).alias("_n"), (F.col("sample_rate").cast("long") * 30).alias("_limit"), F.lit(None).cast("string").alias("_text"))
+    parts = F.array_sort(F.collect_list(F.struct("piece", "start_at", "end_at")))
+    rows = cut.groupBy("item", "session_id", "idx", "forced").agg(parts.alias("p")).join(texts.unionByName(sound), ["item", "session_id", "idx"])
+    last, n = F.element_at("p", -1), F.size("p")
+    pairs = F.zip_with(F.slice("p", 1, n - 1), F.slice("p", 2, n - 1), lambda a, b: b["start_at"] == F.greatest(a["end_at"] - repeat, F.lit(0)))
+    inside = lambda x: F.substring(F.col("_text"), x["end_at"].cast("int"), F.lit(2)).rlike(f"^[^{WHITE}{STOPS}]{{2}}$")
+    torn = F.exists(F.slice("p", 1, n - 1), inside)
+    return rows.select(
+        "item", "session_id", "idx", F.forall("p", lambda x: x["piece"] < n).alias("numbered"), ((F.element_at("p", 1)["start_at"] == 0) & (last["end_at"] == F.col("_n"))).alias("covered"),
+        F.forall("p", lambda x: x["end_at"] - x["start_at"] <= size).alias("within"), F.forall(pairs, lambda x: x).alias("repeated"), (F.coalesce(torn, F.lit(False)) & (F.col("forced") == 0) & ~F.coalesce(F.col("_text").rlike(f"[^{WHITE}{STOPS}]{{3801}}"), F.lit(False))).alias("torn"),
+    )
+
+
+def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document, how many ids it has none of, and whether they give its text again."""
+    rows = encode_texts(table(spark, d, "documents")).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return rows.select("doc_id", (decoded("ids") == F.coalesce("text", F.lit(""))).alias("same"), (F.size("ids") == 0).alias("none"))
+
+
+def p8_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Of each target: whether no document occurs too often, and the tokens of its documents."""
+    mix, report = _mixture(spark, d)
+    times = mix.groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.max("repeat").alias("r"))
+    times = times.groupBy("source").agg(F.max("n").alias("most"), F.bool_and(F.col("r") == F.col("n") - 1).alias("in_row"))
+    rows = report.join(times, "source", "left")
+    fair = (F.abs(F.col("actual_share") - F.col("target_share")) < 0.02) | (F.col("actual_tokens") > 0.98 * F.col("available_tokens") * F.col("max_repeats")) | (F.col("actual_share") > F.col("target_share"))
+    return rows.select("source", F.round("target_share", 9).alias("target_share"), "max_repeats", F.coalesce(F.col("most") <= F.col("max_repeats"), F.lit(True)).alias("kept"), F.coalesce("in_row", F.lit(True)).alias("in_row"), fair.alias("fair"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"))
 
@@ -64,7 +102,7 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     return text_quality(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_turns, p2_found, p5_found, p5_pieces, p7_ids, p8_mixture, p8_shares, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_turns, p2_found, p5_found, p5_pieces, p5_checked, p7_ids, p7_round_trip, p8_mixture, p8_shares, p8_checked, p9_found, p9_statistics)}
 
 _NEAR = """
 select seg_id, match_id from (
@@ -74,6 +112,11 @@ select seg_id, match_id from (
     on r.session_id = s.session_id and r.t between s.start_ms - 1000 and s.start_ms + 1000)
 where rn = 1"""
 
+_LONG = """with c as (
+  select 'text' as item, session_id, -1 as idx from transcripts where length(raw_text) > 4000
+  union select 'audio', session_id, idx from audio_chunks where sample_rate > 0 and len(samples) // channels > 30 * sample_rate)
+"""
+
 ORACLE = {
     "p2_found": _NEAR.format(id="interval_id", table="speaker_intervals") + " union all " + _NEAR.format(id="emb_id", table="voice_embeddings"),
     "p5_found": r"""
@@ -86,4 +129,7 @@ select distinct 'audio', session_id, idx, (list_max(list_transform(string_split_
       case when list_max(list_transform(samples[f * channels + 1 : (f + 1) * channels], lambda v: abs(v))) <= 0.02 then 'q' else 'x' end), ''),
       'q{' || (sample_rate // 5) || ',}', 'B', 'g'), 'B'), lambda x: length(x))) > 30 * sample_rate)::int
 from audio_chunks where sample_rate > 0 and len(samples) // channels > 30 * sample_rate""",
+    "p5_checked": _LONG + "select item, session_id, idx, true as numbered, true as covered, true as within, true as repeated, false as torn from c",
+    "p7_round_trip": "select doc_id, true as same, coalesce(text, '') = '' as none from documents",
+    "p8_checked": "select lower(trim(source)) as source, round(weight / sum(weight) over (), 9) as target_share, max_repeats, true as kept, true as in_row, true as fair from mix_targets",
 }
