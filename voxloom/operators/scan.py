@@ -59,8 +59,9 @@ def carried(rows: DataFrame, keys: Sequence[str], order: Sequence[str], steps: S
     before, aggregates need a frame (earlier() or throughout()).
     """
     keys = list(keys)
-    row, place = F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.struct(*order)
-    slices = rows.groupBy(*keys, "_slice").agg(F.min_by(row, place).alias("_first"), F.max_by(row, place).alias("_last"))
+    row, place, w = F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.struct(*order), along(keys, order)
+    edge = (F.lag(F.lit(1)).over(w).isNull() | F.lead(F.lit(1)).over(w).isNull()).alias("_edge")
+    slices = rows.select("*", edge).where("_edge").groupBy(*keys, "_slice").agg(F.min_by(row, place).alias("_first"), F.max_by(row, place).alias("_last"))
     window = Window.partitionBy(*keys).orderBy("_slice")
     for step in steps:
         slices = slices.withColumns({name: column(window) for name, column in step.items()})
@@ -92,15 +93,25 @@ def previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns
     return out.withColumns({name: F.coalesce("_lag", "_before")[c] for c, name in columns.items()}).drop("_lag", "_before")
 
 
-def runs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], starts: Callable[[Column, Column], Column], name: str, place: str) -> DataFrame:
+class Fields:
+    """Columns by name, of this row or another one."""
+
+    def __init__(self, of: Callable[[str], Column]):
+        self._of = of
+
+    def __getitem__(self, name: str) -> Column:
+        return self._of(name)
+
+
+def runs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], starts: Callable[[Fields, Fields], Column], name: str, place: str) -> DataFrame:
     """Add name, the order values, as a struct, of the last row up to this one that starts a run, and place, the number of rows between; also across slices.
 
-    starts(before, row) tells from the structs of the row before and a row whether
+    starts(before, row) tells from the fields of the row before and a row whether
     the latter starts a run; a first row does.
     """
     w = along(keys, order)
-    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
-    rows = rows.withColumns({"_new": F.when(F.lag(F.lit(1)).over(w).isNotNull(), starts(F.lag(row).over(w), row)), "_n": F.row_number().over(w).cast("long")})
+    new = starts(Fields(lambda c: F.lag(c).over(w)), Fields(F.col))
+    rows = rows.withColumns({"_new": F.when(F.lag(F.lit(1)).over(w).isNotNull(), new), "_n": F.row_number().over(w).cast("long")})
     rows = rows.withColumn("_own", F.max(F.when(F.col("_new"), F.struct(*order, "_n"))).over(up_to(w)))  # _new is null in a slice's first row
 
     def put(source: str, n: Column) -> Column:
@@ -108,7 +119,7 @@ def runs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], starts: Cal
 
     steps = [
         {"_prev": lambda w: F.lag("_last").over(w), "_base": lambda w: F.coalesce(F.sum("_last._n").over(earlier(w)), F.lit(0))},
-        {"_head": lambda w: F.when(F.col("_prev").isNull() | starts(F.col("_prev"), F.col("_first")), put("_first", F.col("_base") + 1))},
+        {"_head": lambda w: F.when(F.col("_prev").isNull() | starts(Fields(lambda c: F.col(f"_prev.`{c}`")), Fields(lambda c: F.col(f"_first.`{c}`"))), put("_first", F.col("_base") + 1))},
         {"_tail": lambda w: F.when(F.col("_last._own").isNotNull(), put("_last._own", F.col("_base") + F.col("_last._own._n")))},
         {"_in": lambda w: F.coalesce("_head", F.max(F.coalesce("_tail", "_head")).over(earlier(w)))},
     ]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.text import blank, format_srt, format_time, format_time_short, trim_white
-from voxloom.operators.scan import SLICE_MS, along, carried, once, runs, running_sum, salted_join, sliced, throughout, up_to
+from voxloom.operators.scan import SLICE_MS, Fields, along, carried, once, runs, running_sum, salted_join, sliced, throughout, up_to
 
 K = ["session_id"]
 ORDER = ["start_ms", "seg_id"]
@@ -121,7 +121,7 @@ def merge_utterances(
     rows = rows.select(*K, *ORDER, F.coalesce("end_ms", "start_ms").alias("end_ms"), "speaker_id", "text", F.coalesce("overlapped", F.lit(False)).alias("overlapped"))
     rows = once(sliced(rows, K, "start_ms", width), [*K, "_slice", *ORDER])
 
-    def starts(before: Column, row: Column) -> Column:
+    def starts(before: Fields, row: Fields) -> Column:
         near = F.greatest(row["start_ms"] - before["end_ms"], F.lit(0)) < max_gap
         # Cases rather than a disjunction of three, whose order differs between copies of a plan, so that exchanges would not be reused.
         return F.when(~row["speaker_id"].eqNullSafe(before["speaker_id"]), True).when(near, ends_sentence(before["text"])).otherwise(True)
