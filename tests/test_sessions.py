@@ -1,8 +1,10 @@
 from pyspark.sql import functions as F
 
 from voxloom.operators import summaries
+from voxloom.operators.recognition import in_chunk_order, resume_points, transcribe
 from voxloom.operators.utterances import documents_of
 from voxloom.sources import stores
+from voxloom.sources.files import first_etag
 
 
 def test_summaries_ask_once_for_short_texts_and_join_pieces_in_order(spark):
@@ -40,3 +42,26 @@ def test_stored_documents(spark, tmp_path):
 def test_documents_without_rows(spark):
     empty = spark.createDataFrame([], "session_id string, first_seg long, start_ms long, block string")
     assert documents_of(empty).count() == 0
+
+
+def test_resume_points_and_order_of_chunks(spark):
+    done = spark.createDataFrame([("a", 0), ("a", 1), ("a", 1), ("a", 3), ("b", 2), ("c", None), (None, 0), ("d", 0)], "session_id string, idx long")
+    assert sorted(map(tuple, resume_points(done).collect())) == [("a", 3, 2), ("b", 1, 0), ("d", 1, 1)]
+    raw = spark.createDataFrame([("a", 2, 0), ("a", 1, 5), ("b", 1, 7), ("b", None, 1)], "session_id string, chunk_id int, pos long")
+    assert [(r.session_id, r.pos) for r in in_chunk_order(raw).orderBy("session_id", "order").collect()] == [("a", 5), ("a", 0), ("b", 1), ("b", 7)]
+
+
+def test_recognisers_are_exchangeable(spark):
+    rows = [("s", 0, 100, 10, 1, [0.5] * 40), ("s", 1, None, 10, 2, [0.1] * 10), ("s", 2, 0, 0, 1, [1.0]), ("s", 3, 0, 10, 1, None), ("s", 4, 0, 10, 1, [])]
+    chunks = spark.createDataFrame(rows, "session_id string, idx long, start_ms long, sample_rate int, channels int, samples array<float>")
+
+    def loud(samples, rate, channels):
+        return [(10, 5, f" {len(samples)} "), (20, 30, " ")]
+
+    assert sorted(map(tuple, transcribe(chunks, loud).collect())) == [("s", 0, 0, 110, 110, "40"), ("s", 1, 0, 10, 10, "10")]
+    assert sorted((r.idx, r.start_ms, r.end_ms) for r in transcribe(chunks).collect()) == [(0, 100, 4100), (1, 0, 500)]
+
+
+def test_first_etag(spark):
+    texts = ["<d:getetag></d:getetag><getetag> W/&quot;1&quot; </getetag>", "<x/>", None, "<o:getetag a='1'>q</o:getetag>"]
+    assert [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(first_etag("t")).collect()] == ['W/"1"', None, None, "q"]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions.text import basename, glob_match, is_audio_path, under
+from voxloom.operators.scan import salted_join
 
 # Statuses by the attention they need, the most urgent first.
 STATUSES = ("conflict", "pending_delete", "pending_download", "pending_upload", "excluded", "deleted_local_kept_remote", "never_synced", "synced")
@@ -235,10 +236,10 @@ def missing_artifacts(files: DataFrame) -> DataFrame:
 def unique_names(wanted: DataFrame, taken: DataFrame, stem: str = "stem", name: str = "name", most: int = 999) -> DataFrame:
     """wanted with name: the stem if free, else the first free of stem_2 to stem_<most>; null if there is none.
 
-    wanted: stem and id, one row per id; rows with the same stem get names in the
-    order of id. taken: name. Only names that could collide travel: those of the
-    form of a wanted stem. A stem has at most most names, so what comes together of
-    one is bounded; further rows of it are told apart by their number alone.
+    wanted: stem and id, one row per pair of them; rows with the same stem get names
+    in the order of id. taken: name. Only names that could collide travel: those of
+    the form of a wanted stem. A stem has at most most names, so only the first most
+    rows of it are ranked (each task keeps no more), and the others have none.
     """
     from pyspark.sql import Window
 
@@ -247,8 +248,9 @@ def unique_names(wanted: DataFrame, taken: DataFrame, stem: str = "stem", name:
     base = taken.select(F.col(name).alias(stem), F.lit(1).alias("_n"))
     base = base.unionByName(taken.where(number != "").select(F.regexp_extract(name, r"^(.*)_([1-9][0-9]{0,3})$", 1).alias(stem), number.cast("int").alias("_n")))
     used = base.where(F.col("_n").between(1, most)).distinct().join(stems, stem, "left_semi").groupBy(stem).agg(F.collect_set("_n").alias("_used"))
-    free = F.array_sort(F.array_except(F.filter(F.sequence(F.lit(1), F.lit(most)), lambda n: n > 0), F.coalesce("_used", F.array().cast("array<int>"))))
+    free = F.array_sort(F.array_except(F.sequence(F.lit(1), F.lit(most)), F.coalesce("_used", F.array().cast("array<int>"))))
     order = F.row_number().over(Window.partitionBy(stem).orderBy("id"))
-    rows = wanted.withColumn("_k", order).join(used, stem, "left")
-    n = F.when(F.col("_k") <= F.size(free), F.element_at(free, F.least("_k", F.size(free))))
-    return rows.withColumn(name, F.when(n == 1, F.col(stem)).otherwise(F.concat(stem, F.lit("_"), n.cast("string")))).drop("_k", "_used")
+    rows = wanted.select(stem, "id").withColumn("_k", order).where(F.col("_k") <= most).join(used, stem, "left").withColumn("_free", free)
+    n = F.get("_free", F.col("_k") - 1)
+    named = rows.select(stem, "id", F.when(n == 1, F.col(stem)).otherwise(F.concat(stem, F.lit("_"), n.cast("string"))).alias(name))
+    return salted_join(wanted, named, [stem, "id"], "id")

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from voxloom.functions.text import is_placeholder, sample_key
 from voxloom.operators import summaries, sync
 from voxloom.operators.listings import merge_manifests
+from voxloom.operators.recognition import in_chunk_order, in_list_order, resume_points, transcribe
 from voxloom.operators.scan import running_sum, sliced
 from voxloom.operators.utterances import documents_of, newest_labels
 from voxloom.sources import stores, table
+from voxloom.sources.files import first_etag
+from voxloom.streaming.streams import finished_chunks
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
@@ -168,7 +171,35 @@ def l1_summaries(spark: SparkSession, d: str) -> DataFrame:
     return summaries.summarise(_documents(spark, d), map_from=4000)
 
 
-_NAMES = "j11_session_detail p4_stale_summaries j3_intervals t4_seconds a8_usage a11_partly_in_scope a21_totals u4_profile_names w11_progress m3_repaired_ids m4_opened_projects j13_cloud_copies j15_to_repair m6_recordings s10_labels s11_registry s18_states f75_sample_keys l1_summary_plan l1_summaries"
+def st3_resume_points(spark: SparkSession, d: str) -> DataFrame:
+    """Where sessions go on whose chunks with sound are done."""
+    return resume_points(finished_chunks(table(spark, d, "audio_chunks").where("samples is not null or idx % 3 = 0"), "ingested_at"))
+
+
+def s20_chunk_order(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "segments").select("session_id", F.col("seg_id").alias("pos"), F.when((F.col("seg_id") % 500 != 7) | (F.left("session_id", F.lit(1)) < "9"), F.expr("99 - start_ms div 60000 % 100")).alias("chunk_id")).where("pos < 4294967296").distinct()
+    return in_chunk_order(rows).select("session_id", "pos", "order")
+
+
+def s3_transcribed(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "audio_chunks").where("size(samples) > 0").dropDuplicates(["session_id", "idx"])
+    return transcribe(rows)
+
+
+def t5_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Files and folders by folder, and in it folders first, then by name."""
+    rows = table(spark, d, "local_files").groupBy("rel_path").agg(F.max_by("is_dir", F.struct("listed_at", "local_size")).alias("is_dir"))
+    rows = rows.select(F.regexp_replace("rel_path", "/?[^/]*$", "").alias("folder"), "is_dir", F.element_at(F.split("rel_path", "/"), -1).alias("name"))
+    return rows.orderBy("folder", *in_list_order("is_dir", "name"))
+
+
+def s23_etags(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "manifest_feed").select("change_id", "etag").distinct()
+    xml = F.concat(F.lit('<a:prop xmlns:a="DAV:"><a:getetag> </a:getetag><b:getetag x="1">&quot;'), F.coalesce("etag", F.lit("")), F.lit("&amp;&quot;</b:getetag><a:getetag>no</a:getetag></a:prop>"))
+    return rows.select("change_id", first_etag(xml).alias("found"))
+
+
+_NAMES = "st3_resume_points s20_chunk_order s3_transcribed t5_nodes s23_etags j11_session_detail p4_stale_summaries j3_intervals t4_seconds a8_usage a11_partly_in_scope a21_totals u4_profile_names w11_progress m3_repaired_ids m4_opened_projects j13_cloud_copies j15_to_repair m6_recordings s10_labels s11_registry s18_states f75_sample_keys l1_summary_plan l1_summaries"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _NEWEST = "n as (select session_id, v as labels_version, speaker_id, max(display_name) as display_name, max(color) as color, max(profile_id) as profile_id from (select *, max(labels_version) over (partition by session_id) as v from speaker_labels) where labels_version = v group by 1, 2, 3)"
@@ -197,4 +228,9 @@ ORACLE = {
     "s18_states": "select origin, rel_path, synced_at as last_synced_at, etag, size_bytes from (select *, row_number() over (partition by origin, rel_path order by change_id desc) as k from manifest_feed where rel_path is not null and origin is not null and origin <> 'dev-kite') where k = 1",
     "f75_sample_keys": "select distinct emb_id, 'p1-' || session_id || '-' || start_ms as sample_id from voice_embeddings where start_ms is not null",
     "l1_summary_plan": r"with " + _TEXTS + r", w as (select session_id, length(t) as n, length(t) - length(regexp_replace(t, '[\x{4E00}-\x{9FFF}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}]', '', 'g')) as w from d) select session_id, w + ceil((n - w) / 4.0)::bigint as tokens, w + ceil((n - w) / 4.0)::bigint > 4000 as in_pieces from w",
+    "st3_resume_points": "with c as (select distinct session_id, idx from audio_chunks where idx is not null and session_id is not null and (samples is not null or idx % 3 = 0)), r as (select *, row_number() over (partition by session_id order by idx) - 1 as n from c where idx >= 0) select c.session_id, count(*) as completed, coalesce((select max(idx) + 1 from r where r.session_id = c.session_id and r.idx = r.n), 0) as next from c group by 1",
+    "s20_chunk_order": """with r as (select distinct session_id, seg_id as pos, case when seg_id % 500 <> 7 or left(session_id, 1) < '9' then 99 - start_ms // 60000 % 100 end as chunk_id from segments) select session_id, pos, case when bool_and(chunk_id is not null) over (partition by session_id) then chunk_id * 4294967296 else 0 end + pos as "order" from r""",
+    "s3_transcribed": "with c as (select *, case when sample_rate > 0 and channels > 0 then len(samples) // channels * 1000 // sample_rate else 0 end as total from (select distinct on (session_id, idx) * from audio_chunks where len(samples) > 0)), s as (select session_id, idx, coalesce(start_ms, 0) as at_ms, total, unnest(range(0, total, 5000)) as a from c where total > 0) select session_id, idx, a // 5000 as pos, at_ms + a as start_ms, at_ms + least(a + 5000, total) as end_ms, 'segment ' || (a // 5000 + 1) as text from s",
+    "t5_nodes": "with l as (select * from (select *, row_number() over (partition by rel_path order by listed_at desc, local_size desc nulls last) as k from local_files) where k = 1), n as (select regexp_replace(rel_path, '/?[^/]*$', '') as folder, is_dir, string_split(rel_path, '/')[-1] as name from l) select * from n",
+    "s23_etags": """select distinct change_id, '"' || coalesce(etag, '') || '&"' as found from manifest_feed""",
 }

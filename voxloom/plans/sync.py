@@ -134,14 +134,14 @@ def f5_titles(spark: SparkSession, d: str) -> DataFrame:
 def w15_unique_names(spark: SparkSession, d: str) -> DataFrame:
     taken = table(spark, d, "local_files").where("not is_dir").select(basename("rel_path").alias("name"), "rel_path").distinct()
     wanted = taken.select(F.regexp_replace("name", "^[^-]*-", "").alias("stem"), F.col("rel_path").alias("id"))
-    wanted = wanted.groupBy("stem").agg(F.count("*").alias("_n")).select("stem", F.explode(F.sequence(F.lit(1).cast("long"), F.least("_n", F.lit(40)))).alias("id"))
+    wanted = wanted.groupBy("stem").agg(F.count("*").alias("_n")).select("stem", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("id"))
     names = taken.select("name").union(taken.select(F.concat(F.regexp_replace("name", "^[^-]*-", ""), F.when(F.length("rel_path") % 5 == 0, "_2").when(F.length("rel_path") % 5 == 1, "_5").otherwise(""))))
     return sync.unique_names(wanted, names)
 
 
 def t2_projects(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "local_files").select(sync.project_of("rel_path").alias("project"), "modified_at", "rel_path").where("project is not null")
-    return rows.groupBy("project").agg(F.max(F.unix_micros("modified_at")).alias("updated_us"), F.count_distinct("rel_path").alias("paths")).orderBy(F.desc("updated_us"), "project").limit(20)
+    return rows.groupBy("project").agg(F.max(F.unix_micros("modified_at")).alias("updated_us"), F.count_distinct("rel_path").alias("paths")).orderBy(F.desc("updated_us"), "project")
 
 
 def u3_state_of_live_files(spark: SparkSession, d: str) -> DataFrame:
@@ -216,10 +216,11 @@ z as (select folder, day, case when regexp_matches(rest, '^.+_[0-9]{{0,2}}$') th
 select folder, day, case when trim(title) = '' then folder else title end as title, regexp_matches(lower(trim(title)), '^(|[0-9]+|(recording|audio|input|output|untitled)([ (_-].*)?)$') as says_nothing from z""",
     "w15_unique_names": f"""with t as (select distinct {_NAME} as name, rel_path from local_files where not is_dir),
 n as (select name from t union select regexp_replace(name, '^[^-]*-', '') || case length(rel_path) % 5 when 0 then '_2' when 1 then '_5' else '' end from t),
-w as (select regexp_replace(name, '^[^-]*-', '') as stem, least(count(*), 40) as many from t group by 1),
+w as (select regexp_replace(name, '^[^-]*-', '') as stem, count(*) as many from t group by 1),
 c as (select stem, many, k, case when k = 1 then stem else stem || '_' || k end as name from w, (select unnest(range(1, 1000)) as k)),
-f as (select stem, many, name, row_number() over (partition by stem order by k) as id from c where name not in (select name from n))
-select stem, id, name from f where id <= many""",
-    "t2_projects": f"select {_PROJECT} as project, max(epoch_us(modified_at)) as updated_us, count(distinct rel_path) as paths from local_files where {_PROJECT} is not null group by 1 order by updated_us desc nulls last, project limit 20",
+f as (select stem, many, name, row_number() over (partition by stem order by k) as id from c where name not in (select name from n)),
+i as (select stem, unnest(range(1, many + 1)) as id from w)
+select i.stem, i.id, f.name from i left join f on f.stem = i.stem and f.id = i.id""",
+    "t2_projects": f"select {_PROJECT} as project, max(epoch_us(modified_at)) as updated_us, count(distinct rel_path) as paths from local_files where {_PROJECT} is not null group by 1 order by updated_us desc nulls last, project",
     "u3_state_of_live_files": f"with {_BASE} select m.rel_path from m join a on a.rel_path = m.rel_path where a.deleted_at is null",
 }

@@ -65,13 +65,26 @@ def dav_listing(df: DataFrame, xml: str, root: str = "") -> DataFrame:
     plain = F.regexp_replace(F.col(xml), r"<(/?)[A-Za-z0-9_]+:", "<$1")
     parts = F.regexp_extract_all(plain, F.lit(r"(?s)<response(?:\s[^>]*)?>.*?</response>"), F.lit(0))
     rows = df.select(F.explode(parts).alias("_r"))
-    unescape = lambda c: F.replace(F.replace(F.replace(F.replace(F.replace(c, F.lit("&quot;"), F.lit('"')), F.lit("&apos;"), F.lit("'")), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
-    field = lambda name: unescape(F.trim(F.regexp_extract("_r", rf"(?s)<{name}(?:\s[^>]*)?>(.*?)</{name}>", 1)))
+    field = lambda name: unescaped(F.trim(F.regexp_extract("_r", rf"(?s)<{name}(?:\s[^>]*)?>(.*?)</{name}>", 1)))
     is_dir = F.col("_r").rlike(r"<collection(?:\s[^>]*)?/?>")
     out = rows.select(href_path(field("href"), root).alias("rel_path"), is_dir.alias("is_dir"), F.when(~is_dir, parse_size(field("getcontentlength"))).alias("size_bytes"), F.nullif(field("getetag"), F.lit("")).alias("etag"))
     return out.where(F.col("rel_path").isNotNull() & (F.col("rel_path") != ""))
 
 
+def first_etag(xml: str | Column) -> Column:
+    """The first getetag that isn't blank in a DAV text, whatever its prefix; null without one."""
+    plain = F.regexp_replace(F.col(xml) if isinstance(xml, str) else xml, r"<(/?)[A-Za-z0-9_]+:", "<$1")
+    found = F.filter(F.transform(F.regexp_extract_all(plain, F.lit(r"(?s)<getetag(?:\s[^>]*)?>(.*?)</getetag>"), F.lit(1)), lambda t: unescaped(F.trim(t))), lambda t: t != "")
+    return F.get(found, F.lit(0))
+
+
+def unescaped(x: Column) -> Column:
+    """With the five entities of XML resolved."""
+    for entity, sign in (("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        x = F.replace(x, F.lit(entity), F.lit(sign))
+    return x
+
+
 def even_segments(total: str, step: int) -> Column:
     """Segments (start_ms, end_ms) of step that cover [0, total), the last one cut off; none for a total of 0 or less."""
     t = F.col(total)

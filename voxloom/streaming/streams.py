@@ -29,6 +29,12 @@ def talk_time(segments: DataFrame, at: str, window: str = "1 hour", late: str =
     return found.select("session_id", "speaker_id", F.col("w.start").alias("start"), "talk_ms", "segments")
 
 
+def finished_chunks(chunks: DataFrame, at: str, late: str = "1 hour") -> DataFrame:
+    """Finished chunks (session_id, idx and the rest), each once, of a stream in which they may come again; a batch keeps one of each."""
+    rows = chunks.where("session_id is not null and idx is not null")
+    return rows.withWatermark(at, late).dropDuplicatesWithinWatermark(["session_id", "idx"]) if rows.isStreaming else rows.dropDuplicates(["session_id", "idx"])
+
+
 def maintain_manifest(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keep a Parquet table at path/<batch> equal to the latest entry of each path in a stream of manifest entries.
 
