@@ -82,17 +82,18 @@ def _sides(local: DataFrame, remote: DataFrame, values: bool) -> DataFrame:
 
 
 def _compare_presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each unit of ordinals, from the bitmaps of both sides, those of one side only and of both."""
+    """Of each unit of ordinals, from the bitmaps of both sides, those of one side only and of both, as 512 longs each."""
     for batch in batches:
         local, remote = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8) for i in (1, 2))
         sets = [local & ~remote, remote & ~local, local & remote]
-        cut = [pa.array([x[at : at + BITS // 8].tobytes() for at in range(0, len(x), BITS // 8)], pa.binary()) for x in sets]
+        edges = pa.array(np.arange(0, len(local) // 8 + 1, BITS // 64, dtype=np.int32))
+        cut = [pa.ListArray.from_arrays(edges, pa.array(x.view("<i8"))) for x in sets]
         yield pa.RecordBatch.from_arrays([batch.column(0), *cut], ["_unit", "_l", "_r", "_both"])
 
 
 def _has(bitmap: str, place: str) -> Column:
     """Whether the bit at place is set."""
-    return F.expr(f"shiftright(conv(hex(substring({bitmap}, cast({place} div 8 as int) + 1, 1)), 16, 10), cast({place} % 8 as int)) & 1") == 1
+    return F.call_function("shiftright", F.get(bitmap, F.expr(f"cast({place} div 64 as int)")), F.expr(f"cast({place} % 64 as int)")).bitwiseAND(1) == 1
 
 
 def presence(local: DataFrame, remote: DataFrame, blocks: int = 4096) -> DataFrame:
@@ -113,7 +114,7 @@ def presence(local: DataFrame, remote: DataFrame, blocks: int = 4096) -> DataFra
     at = F.row_number().over(Window.partitionBy("_block").orderBy("_path")).cast("long") - 1
     keys = keys.withColumn("_at", at).select("_path", "in_l", "in_r", (F.shiftleft("_block", 40) + F.expr(f"_at div {BITS}")).alias("_unit"), (F.col("_at") % BITS).alias("_place"))
     bits = [F.bitmap_construct_agg(F.when(F.col(f"in_{x}"), F.col("_place"))).alias(f"_{x}") for x in "lr"]
-    sets = keys.groupBy("_unit").agg(*bits).mapInArrow(_compare_presence, "_unit long, _l binary, _r binary, _both binary")
+    sets = keys.groupBy("_unit").agg(*bits).mapInArrow(_compare_presence, "_unit long, _l array<long>, _r array<long>, _both array<long>")
     side = F.when(_has("_both", "_place"), "both").when(_has("_l", "_place"), "local_only").when(_has("_r", "_place"), "remote_only")
     found = keys.select("_path", "_unit", "_place").join(sets, "_unit")
     return found.select(F.col("_path").alias("path"), F.struct(F.col("_unit").alias("unit"), F.col("_place").alias("place")).alias("ordinal"), side.alias("side"))
