@@ -31,6 +31,24 @@ def upsert(current: DataFrame, changes: DataFrame, key: str, keep: list[str] | N
     return joined.select(*[F.when(new & ~(old & F.lit(c in kept)), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in current.columns])
 
 
+def lookup(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is among keys."""
+    return df.join(keys.select(key).distinct(), key, "left_semi")
+
+
+def exists(keys: DataFrame, df: DataFrame, key: str) -> DataFrame:
+    """(key, found): of each of keys whether df has it."""
+    have = df.select(key).distinct().withColumn("_found", F.lit(True))
+    return keys.select(key).join(have, key, "left").select(key, F.coalesce("_found", F.lit(False)).alias("found"))
+
+
+def update(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """current with the columns of changes, one row a key, set where the key is among them; nothing is added."""
+    new = changes.select(F.col(key), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in changes.columns if c != key])
+    rows = current.join(new, key, "left")
+    return rows.select(*[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c != key and c in changes.columns else F.col(c) for c in current.columns])
+
+
 def insert_missing(current: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """current and those of rows whose keys it lacks, each key once."""
     return current.unionByName(rows.dropDuplicates(keys).join(current.select(*keys), keys, "left_anti").select(*current.columns))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxloom.operators import profiles
-from voxloom.operators.listings import upsert
+from voxloom.operators.listings import exists, lookup, update, upsert
 from voxloom.sources import table
 
 
@@ -106,7 +106,39 @@ def m9_renamed_labels(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(versions.join(more, "session_id").select("session_id", (F.col("labels_version") + F.col("_n")).alias("labels_version")), "session_id")
 
 
-_NAMES = "p5_acceptable k4_enroll a7_profile_centroids q26_delete_cascade q28_profile_stats q19_usable_profiles q1_upsert_sessions q14_chunks_in_order q15_counts p24_prefixes m9_renamed_labels"
+def q2_lookups(spark: SparkSession, d: str) -> DataFrame:
+    """Heads of the sessions that are asked for: those with labels."""
+    asked = table(spark, d, "speaker_labels").select("session_id").distinct()
+    return lookup(table(spark, d, "transcripts").select("session_id", "engine", "model", "duration_ms").distinct(), asked, "session_id")
+
+
+def q5_exists(spark: SparkSession, d: str) -> DataFrame:
+    """Of each session with segments, whether it has labels."""
+    asked = table(spark, d, "segments").select("session_id").distinct()
+    return exists(asked, table(spark, d, "speaker_labels"), "session_id")
+
+
+def q3_updates(spark: SparkSession, d: str) -> DataFrame:
+    """Heads with the engine and model that sessions with labels get."""
+    rows = table(spark, d, "transcripts").select("session_id", "engine", "model").distinct()
+    changes = table(spark, d, "speaker_labels").groupBy("session_id").agg(F.lit("done").alias("engine"), F.max("color").alias("model"))
+    return update(rows, changes, "session_id")
+
+
+def q8_settings(spark: SparkSession, d: str) -> DataFrame:
+    """Settings by key, after changes."""
+    rows = table(spark, d, "manifest_feed").where("origin is not null and rel_path is not null")
+    now = rows.where("change_id % 2 = 0").groupBy(F.col("origin").alias("key")).agg(F.max("rel_path").alias("value"))
+    new = rows.where("change_id % 2 = 1 and origin > 'dev-l'").groupBy(F.concat("origin", F.when(F.col("origin") > "dev-p", "-2").otherwise("")).alias("key")).agg(F.min("rel_path").alias("value"))
+    return upsert(now, new, "key")
+
+
+def q27_profiles_by_time(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "voice_embeddings").groupBy(F.left("session_id", F.lit(2)).alias("profile_id")).agg(F.max(F.unix_micros("ingested_at")).alias("updated_us"))
+    return rows.orderBy(F.desc("updated_us"), "profile_id")
+
+
+_NAMES = "q2_lookups q5_exists q3_updates q8_settings q27_profiles_by_time p5_acceptable k4_enroll a7_profile_centroids q26_delete_cascade q28_profile_stats q19_usable_profiles q1_upsert_sessions q14_chunks_in_order q15_counts p24_prefixes m9_renamed_labels"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _S = """with e as (select distinct on (emb_id) * from voice_embeddings),
@@ -136,4 +168,9 @@ from t full join l on t.session_id = l.session_id""",
     "q15_counts": "select (select count(distinct session_id) from transcripts) as transcripts, (select count(distinct seg_id) from segments) as segments, (select count(distinct interval_id) from speaker_intervals) as speaker_intervals, (select count(distinct emb_id) from voice_embeddings) as voice_embeddings",
     "p24_prefixes": "select prefix, count(*) as sessions, case when count(*) = 1 then max(session_id) end as session_id from (select session_id, left(session_id, unnest([2, 3, 64])) as prefix from (select distinct session_id from transcripts)) group by 1",
     "m9_renamed_labels": "with " + _NEWEST + ", c as (select *, coalesce(speaker_id % 2 = 0 and display_name <> 'Guest ' || speaker_id, false) as changed from n) select session_id, speaker_id, case when changed then 'Guest ' || speaker_id else display_name end as display_name, v + count(*) filter (changed) over (partition by session_id) as labels_version from c",
+    "q2_lookups": "select distinct session_id, engine, model, duration_ms from transcripts where session_id in (select session_id from speaker_labels)",
+    "q5_exists": "select distinct session_id, session_id in (select session_id from speaker_labels) as found from segments",
+    "q3_updates": "with c as (select session_id, max(color) as color from speaker_labels group by 1) select distinct t.session_id, case when c.session_id is null then engine else 'done' end as engine, case when c.session_id is null then model else color end as model from transcripts t left join c on c.session_id = t.session_id",
+    "q8_settings": "with n as (select origin as key, max(rel_path) as value from manifest_feed where origin is not null and rel_path is not null and change_id % 2 = 0 group by 1), u as (select origin || case when origin > 'dev-p' then '-2' else '' end as key, min(rel_path) as value from manifest_feed where rel_path is not null and change_id % 2 = 1 and origin > 'dev-l' group by 1) select coalesce(u.key, n.key) as key, case when u.key is null then n.value else u.value end as value from n full join u on n.key = u.key",
+    "q27_profiles_by_time": "select left(session_id, 2) as profile_id, max(epoch_us(ingested_at)) as updated_us from voice_embeddings group by 1 order by updated_us desc, profile_id",
 }

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.functions.text import is_placeholder, sample_key
+from voxloom.functions import diagrams
+from voxloom.functions.text import guessed_scene, is_placeholder, sample_key
 from voxloom.operators import summaries, sync
 from voxloom.operators.listings import merge_manifests
 from voxloom.operators.recognition import in_chunk_order, in_list_order, resume_points, transcribe
@@ -163,6 +164,34 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return documents_of(rows, "\n")
 
 
+def _facts(spark: SparkSession, d: str) -> DataFrame:
+    """Of each session with segments: how many, its seconds, the names of its speakers, and what it sounds like."""
+    segments = table(spark, d, "segments").groupBy("session_id").agg(F.count_distinct("seg_id").alias("segments"))
+    heads = table(spark, d, "transcripts").groupBy("session_id").agg(F.max(F.coalesce("duration_ms", F.lit(0))).alias("ms"), F.max("raw_text").alias("t"))
+    names = newest_labels(table(spark, d, "speaker_labels")).where("display_name is not null").groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("speaker_id", "display_name"))).alias("names"))
+    rows = segments.join(heads, "session_id").join(names, "session_id", "left")
+    scene = guessed_scene(F.coalesce("t", F.lit("")), ("chapter", "garden"), ("folder", "signal"))["scene"]
+    return rows.select("session_id", "segments", F.expr("ms div 1000").alias("seconds"), F.array_join(F.transform("names", lambda n: n["display_name"]), ", ").alias("names"), scene.alias("scene"))
+
+
+def l5_mock_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Notes of a session as a stand-in for a model's: (session_id, detailed, brief)."""
+    rows = _facts(spark, d)
+    who = F.when(F.coalesce(F.col("names"), F.lit("")) != "", F.concat(F.lit("- speakers: "), "names", F.lit("\n"))).otherwise("")
+    detailed = F.concat(F.lit("# (mock) "), "scene", F.lit("\n\n- segments: "), F.col("segments").cast("string"), F.lit("\n- seconds: "), F.col("seconds").cast("string"), F.lit("\n"), who)
+    points = F.array_join(F.transform(F.sequence(F.lit(1), F.least(F.greatest("segments", F.lit(1)), F.lit(3)).cast("int")), lambda n: F.concat(F.lit("- point "), n.cast("string"))), "\n")
+    return rows.select("session_id", detailed.alias("detailed"), F.concat(F.lit("# (mock) "), "scene", F.lit("\n"), points).alias("brief"))
+
+
+def l2_mock_mindmaps(spark: SparkSession, d: str) -> DataFrame:
+    """A diagram of a session as a stand-in for a model's, with its outline and its issues."""
+    rows = _facts(spark, d)
+    part = lambda n: F.concat(F.lit("    part "), n.cast("string"), F.lit("\n      [["), n.cast("string"), F.lit("]]"))
+    text = F.concat(F.lit("mindmap\n  root(("), "scene", F.lit("))\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.least(F.greatest("segments", F.lit(1)), F.lit(4)).cast("int")), part), "\n"))
+    rows = rows.select("session_id", text.alias("text"))
+    return rows.select("session_id", F.size(diagrams.issues_of("text")).alias("issues"), F.size(diagrams.issues_of(diagrams.repaired("text"))).alias("after"), diagrams.outline_of(diagrams.repaired("text")).alias("outline"))
+
+
 def l1_summary_plan(spark: SparkSession, d: str) -> DataFrame:
     return summaries.summary_plan(_documents(spark, d), 4000)
 
@@ -199,7 +228,7 @@ def s23_etags(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("change_id", first_etag(xml).alias("found"))
 
 
-_NAMES = "st3_resume_points s20_chunk_order s3_transcribed t5_nodes s23_etags j11_session_detail p4_stale_summaries j3_intervals t4_seconds a8_usage a11_partly_in_scope a21_totals u4_profile_names w11_progress m3_repaired_ids m4_opened_projects j13_cloud_copies j15_to_repair m6_recordings s10_labels s11_registry s18_states f75_sample_keys l1_summary_plan l1_summaries"
+_NAMES = "l5_mock_summaries l2_mock_mindmaps st3_resume_points s20_chunk_order s3_transcribed t5_nodes s23_etags j11_session_detail p4_stale_summaries j3_intervals t4_seconds a8_usage a11_partly_in_scope a21_totals u4_profile_names w11_progress m3_repaired_ids m4_opened_projects j13_cloud_copies j15_to_repair m6_recordings s10_labels s11_registry s18_states f75_sample_keys l1_summary_plan l1_summaries"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _NEWEST = "n as (select session_id, v as labels_version, speaker_id, max(display_name) as display_name, max(color) as color, max(profile_id) as profile_id from (select *, max(labels_version) over (partition by session_id) as v from speaker_labels) where labels_version = v group by 1, 2, 3)"
@@ -208,6 +237,11 @@ _PROJECT = "nullif(regexp_extract(rel_path, '^projects/([^/]+)', 1), '')"
 _AUDIO = r"regexp_matches(lower(rel_path), '[^/]\.(wav|mp3|m4a|aac|flac|ogg|opus|wma)$')"
 _TEXTS = "d as (select session_id, string_agg(text, chr(10) order by start_ms, seg_id) as t from (select distinct session_id, seg_id, start_ms, text from segments where start_ms is not null and text is not null) group by 1)"
 
+_FACTS = f"""with {_NEWEST}, g as (select session_id, count(distinct seg_id) as n from segments group by 1), h as (select session_id, max(coalesce(duration_ms, 0)) // 1000 as s, coalesce(max(raw_text), '') as t from transcripts group by 1),
+m as (select session_id, string_agg(display_name, ', ' order by speaker_id) as names from n where display_name is not null group by 1),
+k as (select g.*, h.s, m.names, contains(t, 'chapter')::int + contains(t, 'garden')::int as a, contains(t, 'folder')::int + contains(t, 'signal')::int as b from g join h on h.session_id = g.session_id left join m on m.session_id = g.session_id),
+f as (select *, case when a = 0 and b = 0 then 'other' when a >= b then 'lecture' else 'meeting' end as scene from k) """
+
 ORACLE = {
     "j11_session_detail": f"with {_NEWEST}, t as (select session_id, speaker_id, sum(greatest(coalesce(end_ms - start_ms, 0), 0)) as ms, count(*) as c from (select distinct seg_id, session_id, speaker_id, start_ms, end_ms from segments where speaker_id is not null) group by 1, 2) select n.session_id, n.speaker_id, n.display_name, coalesce(t.ms, 0)::bigint as talk_time_ms, coalesce(t.c, 0) as segment_count from n left join t on t.session_id = n.session_id and t.speaker_id = n.speaker_id",
     "p4_stale_summaries": "select session_id, min(labels_version) as made_with, max(labels_version) as labels_version, min(labels_version) < max(labels_version) as stale from speaker_labels group by 1",
@@ -233,4 +267,7 @@ ORACLE = {
     "s3_transcribed": "with c as (select *, case when sample_rate > 0 and channels > 0 then len(samples) // channels * 1000 // sample_rate else 0 end as total from (select distinct on (session_id, idx) * from audio_chunks where len(samples) > 0)), s as (select session_id, idx, coalesce(start_ms, 0) as at_ms, total, unnest(range(0, total, 5000)) as a from c where total > 0) select session_id, idx, a // 5000 as pos, at_ms + a as start_ms, at_ms + least(a + 5000, total) as end_ms, 'segment ' || (a // 5000 + 1) as text from s",
     "t5_nodes": "with l as (select * from (select *, row_number() over (partition by rel_path order by listed_at desc, local_size desc nulls last) as k from local_files) where k = 1), n as (select regexp_replace(rel_path, '/?[^/]*$', '') as folder, is_dir, string_split(rel_path, '/')[-1] as name from l) select * from n",
     "s23_etags": """select distinct change_id, '"' || coalesce(etag, '') || '&"' as found from manifest_feed""",
+    "l5_mock_summaries": _FACTS + """select session_id, '# (mock) ' || scene || chr(10) || chr(10) || '- segments: ' || n || chr(10) || '- seconds: ' || s || chr(10) || case when coalesce(names, '') <> '' then '- speakers: ' || names || chr(10) else '' end as detailed,
+  '# (mock) ' || scene || chr(10) || array_to_string(list_transform(range(1, least(n, 3) + 1), lambda i: '- point ' || i), chr(10)) as brief from f""",
+    "l2_mock_mindmaps": _FACTS + "select session_id, least(n, 4) as issues, 0 as after, '- ' || scene || chr(10) || array_to_string(list_transform(range(1, least(n, 4) + 1), lambda i: '  - part ' || i || chr(10) || '    - [' || i || ']'), chr(10)) as outline from f",
 }
