@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -220,21 +222,21 @@ def cluster_sessions(embeddings: DataFrame, k: int | None = None, most_items: in
     """
     from voxloom.operators.kmeans import spread_kmeans
 
-    def label(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) > most_items:
-            raise ValueError(f"a session has {len(frame)} vectors; most_items is {most_items}")
-        frame = frame.sort_values(["start_ms", "emb_id"], na_position="first")
-        size = len(frame["vector"].iloc[0])
-        frame = frame[frame["vector"].map(len) == size]
-        x = np.stack(frame["vector"].to_numpy()).astype(np.float64)
+    def label(table: pa.Table) -> pa.Table:
+        if len(table) > most_items:
+            raise ValueError(f"a session has {len(table)} vectors; most_items is {most_items}")
+        table = table.take(pc.sort_indices(table, [("start_ms", "ascending"), ("emb_id", "ascending")], null_placement="at_start"))
+        sizes = pc.list_value_length(table["vector"])
+        table = table.filter(pc.equal(sizes, sizes[0]))
+        x = np.array(table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(table), -1)
         found = np.zeros(len(x), np.int64) if len(x) < 2 else kmeans_labels(x, k) if k else agglomerate_labels(x)
-        return pd.DataFrame({"session_id": frame["session_id"], "emb_id": frame["emb_id"], "cluster": found})
+        return pa.table({"session_id": table["session_id"], "emb_id": table["emb_id"], "cluster": pa.array(found, pa.int64())})
 
     usable = embeddings.where((F.size("vector") > 0) & F.col("session_id").isNotNull())
     rows = usable.dropDuplicates(["emb_id"]).select("session_id", "emb_id", "start_ms", "vector")
     large = [r["session_id"] for r in usable.groupBy("session_id").count().where(F.col("count") > most_items).collect()] if k else []
     small = rows.where(~F.col("session_id").isin(large)) if large else rows
-    out = small.groupBy("session_id").applyInPandas(label, "session_id string, emb_id long, cluster long")
+    out = small.groupBy("session_id").applyInArrow(label, "session_id string, emb_id long, cluster long")
     return out.unionByName(spread_kmeans(rows.where(F.col("session_id").isin(large)), k)) if large else out
 
 
