@@ -81,3 +81,14 @@ def test_shuffled_feed_gives_the_same_state(spark):
     rows += rng.sample(rows, 60)
     rng.shuffle(rows)
     assert sorted((r.rel_path, r.change_id) for r in replay(spark.createDataFrame(rows, SCHEMA)).collect()) == want
+
+
+def test_columns_of_any_name(spark):
+    names = ["_commit", "_seq", "_tx", "_whole", "_salt", "_x", "_later", "_value", "_key", "order", "change"]
+    rows = [(1, "a", 10, None, "t", 2), (2, "b", 11, None, "t", 2), (3, "a", 12, None, None, None), (4, "c", 9, 9, "u", 1)]
+    df = spark.createDataFrame(rows, "change_id long, rel_path string, synced_at long, deleted_at long, tx string, size int").selectExpr("*", *[f"'{n}' as {n}" for n in names])
+    for given in ({}, {"transaction": "tx", "transaction_size": "size"}):
+        found = replay(df, **given)
+        assert found.columns == [*df.columns, "after_gap"]
+        assert sorted((r.rel_path, r.change_id) for r in found.collect()) == [("a", 3), ("b", 2)]
+        assert {tuple(r[n] for n in names) for r in found.collect()} == {tuple(names)}

@@ -34,7 +34,7 @@ def plain_path(text: str | None, decode: bool) -> str | None:
 
 def composed(x: Column) -> Column:
     """Text in composed Unicode (NFC), by the library that Spark's collations use; null for null."""
-    return F.when(x.isNotNull(), F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(x, F.lit("")), F.lit(False)))
+    return F.when(~x.rlike(r"[^\x00-\x7f]"), x).when(x.isNotNull(), F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(x, F.lit("")), F.lit(False)))
 
 
 def plain_paths(column: str, decode: bool) -> Column:

@@ -56,24 +56,21 @@ def contiguous_watermark(changes: DataFrame, seq: str) -> DataFrame:
     return ends.select("_b", "_bits", "_lo", "_hi", "_n").mapInArrow(first_end, "end long").agg(F.min("end").alias("watermark"))
 
 
-def committed_changes(feed: DataFrame, seq: str, transaction: str | None = None, transaction_size: str | None = None) -> DataFrame:
+def committed_changes(changes: DataFrame) -> DataFrame:
     """The changes of complete transactions, with _commit, the number at which theirs commits: its largest one.
 
-    A transaction is complete once transaction_size different seq of it have come;
-    of differing sizes the largest counts, and null means 1. A change without a
-    transaction, and every change where these columns aren't given, commits alone.
-    Distinct numbers of a transaction are counted before and after the shuffle, and
-    rows of a hot one are spread.
+    changes: _seq, _tx and _size, with whatever else. A transaction is complete once
+    _size different _seq of it have come; of differing sizes the largest counts, and
+    null means 1. A change without a transaction commits alone. Distinct numbers of
+    a transaction are counted before and after the shuffle, and rows of a hot one
+    are spread.
     """
-    if not (transaction and transaction_size):
-        return feed.withColumn("_commit", F.col(seq))
-    rows = feed.where(F.col(seq).isNotNull())
-    have = rows.where(F.col(transaction).isNotNull()).groupBy(transaction, seq).agg(F.max(transaction_size).alias("_want"))
-    have = have.groupBy(transaction).agg(F.count("*").alias("_have"), F.max("_want").alias("_want"), F.max(seq).alias("_commit"))
-    have = have.select(transaction, (F.col("_have") >= F.coalesce("_want", F.lit(1))).alias("_whole"), "_commit")
-    found = salted_join(rows, have, [transaction], seq)
-    alone = F.col(transaction).isNull()
-    return found.where(alone | F.col("_whole")).select(*feed.columns, F.when(alone, F.col(seq)).otherwise(F.col("_commit")).alias("_commit"))
+    have = changes.where(F.col("_tx").isNotNull()).groupBy("_tx", "_seq").agg(F.max("_size").alias("_want"))
+    have = have.groupBy("_tx").agg(F.count("*").alias("_have"), F.max("_want").alias("_want"), F.max("_seq").alias("_last"))
+    have = have.select("_tx", (F.col("_have") >= F.coalesce("_want", F.lit(1))).alias("_whole"), "_last")
+    found = salted_join(changes, have, ["_tx"], "_seq")
+    alone = F.col("_tx").isNull()
+    return found.where(alone | F.col("_whole")).select(*changes.columns, F.when(alone, F.col("_seq")).otherwise(F.col("_last")).alias("_commit"))
 
 
 def replay_parts(feed: DataFrame, key: str, seq: str, at: str | Column, transaction: str | None = None, transaction_size: str | None = None) -> DataFrame:
@@ -85,24 +82,26 @@ def replay_parts(feed: DataFrame, key: str, seq: str, at: str | Column, transact
     complete transactions reaches its largest number, else it is held as a whole.
     Keys don't conflict with each other and are replayed in parallel, by maxima
     combined before the shuffle, so copies, late and unordered changes and hot keys
-    need nothing else.
+    need nothing else. The feed's columns are packed first, so their names don't matter.
     """
-    changes = committed_changes(feed, seq, transaction, transaction_size)
-    watermark = contiguous_watermark(changes, seq).scalar()
     change = F.struct(*[F.col(f"`{c}`") for c in feed.columns if c != key])
-    order = F.struct(instant_ns(at).alias("t"), F.col(seq).alias("q"))
-    value = F.struct(order.alias("order"), change.alias("change"))
-    rows = changes.where(F.col(key).isNotNull() & F.col(seq).isNotNull())
-    beyond = F.col("_commit") > watermark
-    rows = rows.select(key, value.alias("_value"), order.alias("_order"), beyond.alias("_beyond"))
+    number = F.col(f"`{seq}`").cast("long")
+    columns = [F.col(f"`{key}`").alias("_key"), number.alias("_seq"), F.struct(instant_ns(at).alias("t"), number.alias("q")).alias("_order"), change.alias("_change")]
+    if transaction and transaction_size:
+        changes = feed.select(*columns, F.col(f"`{transaction}`").alias("_tx"), F.col(f"`{transaction_size}`").alias("_size")).where("_seq is not null")
+        changes = committed_changes(changes)
+    else:
+        changes = feed.select(*columns).where("_seq is not null").withColumn("_commit", F.col("_seq"))
+    beyond = F.col("_commit") > contiguous_watermark(changes, "_seq").scalar()
+    rows = changes.where("_key is not null").select("_key", F.struct(F.col("_order").alias("order"), F.col("_change").alias("change")).alias("_value"), "_order", beyond.alias("_beyond"))
     last = lambda which: F.max_by(F.when(which, F.col("_value")), F.when(which, F.col("_order")))
-    return rows.groupBy(key).agg(last(~F.col("_beyond")).alias("committed"), last(F.col("_beyond")).alias("held"))
+    return rows.groupBy(F.col("_key").alias(key)).agg(last(~F.col("_beyond")).alias("committed"), last(F.col("_beyond")).alias("held"))
 
 
 def _state(parts: DataFrame, columns: list[str], key: str, deleted: str, change: Column, later: Column) -> DataFrame:
     last = parts.select(key, change.alias("_x"), later.alias("_later")).where(F.col("_x").isNotNull() & F.col(f"_x.`{deleted}`").isNull())
-    out = last.select(*[F.col(f"`{c}`") if c == key else F.col(f"_x.`{c}`").alias(c) for c in columns], "_later")
-    return out.withColumn("after_gap", F.col("_later")).drop("_later")
+    own = [F.col(f"`{c}`") if c == key else F.col(f"_x.`{c}`").alias(c) for c in columns if c != "after_gap"]
+    return last.select(*own, F.col("_later").alias("after_gap"))
 
 
 def exposed(parts: DataFrame, columns: list[str], key: str = "rel_path", deleted: str = "deleted_at") -> DataFrame:
