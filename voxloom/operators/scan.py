@@ -37,6 +37,8 @@ def sliced(df: DataFrame, keys: Sequence[str], at: str, width: int = SLICE_MS) -
 def once(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per keys, which rows must be partitioned by: of several the largest. Unlike dropDuplicates, copies of the plan reuse exchanges above it."""
     rest = [c for c in rows.columns if c not in keys]
+    if len(rest) == 1:
+        return rows.groupBy(*keys).agg(F.max(rest[0]).alias(rest[0])).select(*rows.columns)
     best = rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_rest"))
     return best.select(*[F.col(c) if c in keys else F.col(f"_rest.`{c}`").alias(c) for c in rows.columns])
 
