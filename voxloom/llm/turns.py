@@ -19,6 +19,10 @@ HOUR_MS = 3_600_000
 _LINE = "spoken boolean, names array<string>, words string"
 
 
+def _spoken(text: pd.Series) -> pd.Series:
+    return pd.Series([Line(t).spoken for t in text], dtype=bool)
+
+
 def _parsed(text: pd.Series) -> pd.DataFrame:
     lines = [Line(t) for t in text]
     return pd.DataFrame({"spoken": [x.spoken for x in lines], "names": [x.names for x in lines], "words": None})
@@ -83,7 +87,8 @@ def spoken_segments(segments: DataFrame, labels: DataFrame, intervals: DataFrame
     segments = segments.where(F.col("session_id").isNotNull() & F.col("start_ms").isNotNull() & F.col("seg_id").isNotNull() & F.col("text").isNotNull())
     text = [F.col("line.words").alias("text")] if with_text else []
     line = parsed_line("text", with_text).alias("line")
-    known = segments.where(F.col("speaker_id").isNotNull()).select("session_id", "seg_id", "start_ms", F.col("speaker_id").cast("long").alias("speaker_id"), line).where("line.spoken")
+    own = line if with_text else F.struct(F.pandas_udf(_spoken, "boolean")("text").alias("spoken")).alias("line")
+    known = segments.where(F.col("speaker_id").isNotNull()).select("session_id", "seg_id", "start_ms", F.col("speaker_id").cast("long").alias("speaker_id"), own).where("line.spoken")
     known = known.select("session_id", "seg_id", "start_ms", "speaker_id", *text)
 
     unknown = segments.where(F.col("speaker_id").isNull()).select("session_id", "seg_id", "start_ms", "end_ms", line).where("line.spoken")
