@@ -104,8 +104,8 @@ def spoken_segments(segments: DataFrame, labels: DataFrame, intervals: DataFrame
     columns = ["session_id", "seg_id", "start_ms", "speaker_id", "said", *(["text"] if with_text else [])]
     rows = known.withColumn("said", F.lit(None).cast("long")).select(columns).unionByName(unknown.select(columns))
     rows = sliced(rows, ["session_id"], "start_ms", width)
-    # The largest start only so that both sides of the join read the same exchange.
-    slices = rows.groupBy("session_id", "_slice").agg(F.max(F.struct(*[F.col(c) for c in rows.columns])).alias("_x")).where("_x.start_ms is not null").select("session_id", "_slice")
+    # The hash uses all columns only so that both sides of the join read the same exchange.
+    slices = rows.groupBy("session_id", "_slice").agg(F.max(F.xxhash64(*rows.columns)).alias("_x")).where("_x is not null").select("session_id", "_slice")
     rows = rows.join(slices.join(same, "session_id", "left"), ["session_id", "_slice"])
     rows = rows.withColumn("person", F.coalesce("said", F.col("persons")[F.col("speaker_id")], "speaker_id"))
     return rows.where(F.col("person").isNotNull()).drop("said", "speaker_id", "persons")
