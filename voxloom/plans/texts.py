@@ -11,7 +11,7 @@ from voxloom.operators import correction
 from voxloom.operators.utterances import documents_of, merge_utterances, render
 from voxloom.sources import table
 from voxloom.sources.files import dav_listing, recognised_segments
-from voxloom.sources.wav import cuts_of, resampled, sliced_ms, to_mono
+from voxloom.sources.wav import cuts_of, decode_wav, encode_wav, resampled, sliced_ms, to_mono
 
 
 def f2_scene_samples(spark: SparkSession, d: str) -> DataFrame:
@@ -153,6 +153,13 @@ def _measure(x: str) -> list[Column]:
     return [F.size(x).alias("values"), F.round(F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double")), 3).alias("total"), F.round(F.element_at(x, -1).cast("double"), 5).alias("last")]
 
 
+def s1_wav_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Sound written as WAV files of 16 bits and read back."""
+    rows = _sound(spark, d).withColumn("file", encode_wav("samples", "sample_rate", "channels")).withColumn("y", decode_wav("file"))
+    rows = rows.select("session_id", "idx", F.length("file").alias("bytes"), "y.sample_rate", "y.channels", F.col("y.samples").alias("z"))
+    return rows.select("session_id", "idx", "bytes", "sample_rate", "channels", *_measure("z"))
+
+
 def f53_mono(spark: SparkSession, d: str) -> DataFrame:
     return _sound(spark, d).withColumn("y", to_mono("samples", "channels")).where("size(y) > 0").select("session_id", "idx", *_measure("y"))
 
@@ -182,7 +189,7 @@ def a9_plain_text(spark: SparkSession, d: str) -> DataFrame:
     return documents_of(rows, "", 20_000).select("session_id", "part", "blocks", F.length("text").alias("chars"), F.md5(F.encode("text", "UTF-8")).alias("digest"))
 
 
-_NAMES = "f2_scene_samples f3_guessed_scene f7_short_texts f11_split_urls f12_joined_paths f16_diagram_issues f20_outlines f81_verdicts f29_corrections a17_correction_stats f23_progress f43_lengths f70_content_hash f71_cache_keys f73_words_version s21_dav_listing s19_recognised f53_mono f54_resampled f55_sliced w10_planned_cuts r5_documents a9_plain_text"
+_NAMES = "f2_scene_samples f3_guessed_scene f7_short_texts f11_split_urls f12_joined_paths f16_diagram_issues f20_outlines f81_verdicts f29_corrections a17_correction_stats f23_progress f43_lengths f70_content_hash f71_cache_keys f73_words_version s21_dav_listing s19_recognised s1_wav_round_trip f53_mono f54_resampled f55_sliced w10_planned_cuts r5_documents a9_plain_text"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _W = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -241,6 +248,7 @@ h as (select *, substr(sha256(array_to_string(words, chr(10)) || chr(10)), 1, 8)
 select session_id, case when len(words) > 0 then ('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::bigint else 0 end as version, left(case when len(words) > 0 and array_to_string(words, ', ') <> '' then 'Names follow. ' || array_to_string(words, ', ') else 'Names follow' end, 40) as prompt from h""",
     "s21_dav_listing": "select rel_path, is_dir, case when not is_dir then local_size end as size_bytes, content_hash as etag from (select *, row_number() over (partition by rel_path order by listed_at desc, local_size desc nulls last) as k from local_files) where k = 1",
     "s19_recognised": f"select distinct session_id, seg_id, start_ms, greatest(coalesce(end_ms, start_ms // 60000 * 60000), start_ms) as end_ms from segments where regexp_replace(text, '^ +| +$', '', 'g') <> ''",
+    "s1_wav_round_trip": f"with {_SOUND}, z as (select session_id, idx, sample_rate, channels, list_transform(samples, lambda v: trunc(greatest(-1.0, least(1.0, v::double)) * 32767) / 32768) as y from w) select session_id, idx, 44 + 2 * len(y) as bytes, sample_rate, channels, len(y) as values, round(list_sum(y), 3) as total, round(y[-1], 5) as last from z",
     "f53_mono": f"with {_SOUND}, z as (select session_id, idx, list_transform(range(0, len(samples) // channels), lambda f: list_sum(list_transform(samples[f * channels + 1 : (f + 1) * channels], lambda v: v::double)) / channels) as y from w) {_TOTALS}",
     "f54_resampled": f"""with {_SOUND}, q as (select session_id, idx, samples, sample_rate::double / (sample_rate * 3 / 4.0) as step, round(len(samples) * ((sample_rate * 3 / 4.0) / sample_rate::double))::bigint as n from w),
 z as (select session_id, idx, list_transform(range(0, n), lambda i: case when floor(i * step)::bigint + 1 < len(samples) then (samples[floor(i * step)::bigint + 1]::double + (samples[floor(i * step)::bigint + 2]::double - samples[floor(i * step)::bigint + 1]::double) * (i * step - floor(i * step))) else samples[-1]::double end) as y from q) {_TOTALS}""",

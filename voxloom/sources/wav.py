@@ -56,15 +56,20 @@ def format_wav(samples: np.ndarray, rate: int, channels: int) -> bytes:
     return head + body
 
 
-def read_wav(spark: SparkSession, path: str) -> DataFrame:
-    """(path, samples, sample_rate, channels) of the .wav files below path; null samples for files that can't be decoded."""
+def decode_wav(content: str) -> Column:
+    """(samples, sample_rate, channels) of a column of files; null fields for those that can't be decoded."""
 
     def decode(contents: pd.Series) -> pd.DataFrame:
-        found = [parse_wav(bytes(c)) for c in contents]
+        found = [parse_wav(None if c is None else bytes(c)) for c in contents]
         return pd.DataFrame({"samples": [f and f[0] for f in found], "sample_rate": pd.array([f and f[1] for f in found], "Int32"), "channels": pd.array([f and f[2] for f in found], "Int32")})
 
+    return F.pandas_udf(decode, PCM_TYPE)(content)
+
+
+def read_wav(spark: SparkSession, path: str) -> DataFrame:
+    """(path, samples, sample_rate, channels) of the .wav files below path; null samples for files that can't be decoded."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(path)
-    return files.select("path", F.pandas_udf(decode, PCM_TYPE)("content").alias("x")).select("path", "x.samples", "x.sample_rate", "x.channels")
+    return files.select("path", decode_wav("content").alias("x")).select("path", "x.samples", "x.sample_rate", "x.channels")
 
 
 def encode_wav(samples: str, rate: str, channels: str) -> Column:
