@@ -127,23 +127,22 @@ def merge_utterances(
         return F.when(~row["speaker_id"].eqNullSafe(before["speaker_id"]), True).when(near, ends_sentence(before["text"])).otherwise(True)
 
     rows = runs(rows, K, ORDER, starts, "_run", "_place")
-    own = F.expr(f"_place div {block}")
+    own = F.coalesce(F.expr(f"_place div {block}"), F.lit(0).cast("long"))
     both = F.when((own > 0) & (F.col("_place") % block < max_chars), F.array(own, own - 1)).otherwise(F.array(own))
     parts = F.array_sort(F.collect_list(F.struct("_place", "seg_id", "start_ms", "end_ms", "text", "overlapped")))
-    blocks = rows.withColumn("_block", F.explode(both)).groupBy(*K, "_run", "_block").agg(F.max("speaker_id").alias("speaker_id"), parts.alias("parts"), F.max("_place").alias("_upto"))
-    whole = F.greatest(F.col("_block") * block, F.col("_upto")) < block  # of a run of one block
+    keys = [*K, "_run", "_block"]
+    rows = rows.withColumns({"session_id": F.coalesce("session_id", F.lit("")), "_block": F.explode(both)})  # keys that can't be null: see slice_of
+    blocks = rows.groupBy(*keys).agg(F.max("speaker_id").alias("speaker_id"), parts.alias("parts"), F.max("_place").alias("_upto"))
+    blocks = blocks.withColumn("own", F.greatest(F.lit(block).cast("long"), F.least("_upto", F.lit(0))))  # block; both readers of the exchange use all of it
 
     caps = Caps(max_duration, max_chars)
-    short = blocks.where(whole).select("session_id", "speaker_id", "parts", F.lit(0).cast("long").alias("entry"), F.lit(block).cast("long").alias("own"))
-    long = blocks.where(~whole)
-    run_type = long.schema["_run"].dataType.simpleString()
-    # All three branches read the same exchange: the same columns, and a join that infers no filter.
-    exits = long.select(*K, "_run", "_block", "parts", F.lit(block).cast("long").alias("own"), "speaker_id").mapInArrow(caps.exits, f"session_id string, _run {run_type}, _block long, exits array<long>")
-    exits = exits.repartition(*K, "_run").sortWithinPartitions(*K, "_run", "_block")
+    run_type = blocks.schema["_run"].dataType.simpleString()
+    long = blocks.where(F.greatest(F.col("_block") * block, F.col("_upto")) >= block)  # of runs of more than one block
+    exits = long.select(*keys, "parts", "own", "speaker_id").mapInArrow(caps.exits, f"session_id string, _run {run_type}, _block long, exits array<long>")
+    exits = exits.repartition(*K, "_run").sortWithinPartitions(*keys)
     entries = exits.mapInPandas(_entries, f"session_id string, _run {run_type}, _block long, entry long")
-    entries = entries.select(F.struct(*K, "_run", "_block").alias("_at"), "entry")
-    long = long.join(entries, F.struct(*K, "_run", "_block").eqNullSafe(F.col("_at"))).select("session_id", "speaker_id", "parts", "entry", F.lit(block).cast("long").alias("own"))
-    return short.mapInArrow(caps.utterances, _UTTERANCE).unionByName(long.mapInArrow(caps.utterances, _UTTERANCE))
+    entered = blocks.join(entries, keys, "left").select("session_id", "speaker_id", "parts", F.coalesce("entry", F.lit(0)).alias("entry"), "own")
+    return entered.mapInArrow(caps.utterances, _UTTERANCE)
 
 
 def numbered(utterances: DataFrame, name: str = "utt_no", width: int = SLICE_MS) -> DataFrame:
