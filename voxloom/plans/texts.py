@@ -63,13 +63,16 @@ def f20_outlines(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("session_id", (F.col("got") == F.col("text")).alias("extracted"), diagrams.outline_of("got").alias("outline"), diagrams.outline_of(diagrams.repaired("got")).alias("of_repaired"))
 
 
+LOW_CONFIDENCE = 0.6  # fixed value: below it a verdict is uncertain
+
+
 def f81_verdicts(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "segments").select("seg_id").distinct()
     kind = F.when(F.col("seg_id") % 3 == 0, "Meeting").when(F.col("seg_id") % 3 == 1, "party").otherwise("lecture ")
     sure = F.when(F.col("seg_id") % 4 == 0, "").otherwise(F.concat(F.lit(',"confidence":'), (F.col("seg_id") % 4 - 1).cast("string"), F.lit(".25")))
     json = F.concat(F.lit('{"scene":"'), kind, F.lit('"'), sure, F.lit(',"evidence":"{a \\" }'), F.col("seg_id").cast("string"), F.lit('","x":{"y":1}}'))
     answer = F.when(F.col("seg_id") % 5 == 0, F.concat(F.lit("```json\n"), json, F.lit("\n```"))).when(F.col("seg_id") % 5 == 1, F.concat(F.lit("Sure: "), json, F.lit(" {"))).when(F.col("seg_id") % 5 == 2, F.lit("{ no")).otherwise(json)
-    return rows.withColumn("v", diagrams.scene_verdict(answer)).select("seg_id", "v.scene", F.round("v.confidence", 2).cast("double").alias("confidence"), "v.evidence")
+    return rows.withColumn("v", diagrams.scene_verdict(answer)).select("seg_id", "v.scene", F.round("v.confidence", 2).cast("double").alias("confidence"), (F.col("v.confidence") < LOW_CONFIDENCE).alias("low"), "v.evidence")
 
 
 def _corrected(spark: SparkSession, d: str) -> DataFrame:
@@ -230,7 +233,7 @@ select doc_id, case when host <> '' and cut is not null and folder <> '' then ho
     "f16_diagram_issues": f"with {_NODES} select session_id, coalesce(string_agg('line ' || line, ',' order by s) filter (s % 3 = 0), '') as found, 0 as after_repair from r group by 1",
     "f20_outlines": f"with {_NODES} select session_id, true as extracted, '- map' || chr(10) || string_agg('  - S ' || s, chr(10) order by s) as outline, '- map' || chr(10) || string_agg('  - S ' || s, chr(10) order by s) as of_repaired from r group by 1",
     "f81_verdicts": """select distinct seg_id, case when seg_id % 5 = 2 then null when seg_id % 3 = 0 then 'meeting' when seg_id % 3 = 1 then 'other' else 'lecture' end as scene,
-  case when seg_id % 5 = 2 then null when seg_id % 4 = 0 then 0.5 else least(seg_id % 4 - 1 + 0.25, 1.0) end::double as confidence, case when seg_id % 5 <> 2 then '{a " }' || seg_id end as evidence from segments""",
+  case when seg_id % 5 = 2 then null when seg_id % 4 = 0 then 0.5 else least(seg_id % 4 - 1 + 0.25, 1.0) end::double as confidence, case when seg_id % 5 <> 2 then seg_id % 4 <= 1 end as low, case when seg_id % 5 <> 2 then '{a " }' || seg_id end as evidence from segments""",
     "f29_corrections": f"with {_BATCH} select session_id, batch, seg_id, md5(case when outcome = 'applied' then text || ' !' else text end) as digest, outcome = 'applied' as changed, outcome from c",
     "a17_correction_stats": f"with {_BATCH}, d as (select distinct session_id, batch, outcome from c) select count(*) as batches, count(*) filter (outcome = 'applied') as applied, count(*) filter (outcome = 'unchanged') as unchanged, count(*) filter (outcome = 'mismatch') as mismatch, count(*) filter (outcome = 'failed') as failed, (select count(*) from c where outcome = 'applied') as changed from d",
     "f23_progress": "select distinct seg_id, case when seg_id % 150 % 7 <> 0 and seg_id % 150 % 5 <> 0 then least((seg_id % 150) / 100.0, 1.0) end::double as share, case when seg_id % 150 % 3 <> 0 then null end::bigint as slices from segments",
