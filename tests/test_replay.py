@@ -42,6 +42,8 @@ def test_a_transaction_across_a_gap_is_held_as_a_whole(spark):
     run = lambda frame, close: sorted((r.rel_path, r.change_id) for r in replay(frame, transaction="tx", transaction_size="size", close=close).collect())
     assert run(df, False) == [("a", 1)]
     assert run(df, True) == [("a", 5), ("b", 4)]  # t3 never became complete
+    known = lambda close: sorted((r.rel_path, r.change_id) for r in replay(df, transaction="tx", close=close).collect())
+    assert known(False) == [("a", 1)] and known(True) == [("a", 5), ("b", 4), ("c", 7)]  # without sizes what came of t3 is all
     filled = df.union(spark.createDataFrame([(3, "d", 11, None, None, None)], df.schema)).union(df.limit(2))
     assert run(filled, False) == [("a", 5), ("b", 4), ("d", 3)]
 

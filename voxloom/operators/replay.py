@@ -9,8 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.operators.scan import salted_join
-
 BITS = 32_768  # of one bitmap of Spark's bitmap functions
 
 
@@ -59,16 +57,21 @@ def contiguous_watermark(changes: DataFrame, seq: str) -> DataFrame:
 def committed_changes(changes: DataFrame) -> DataFrame:
     """The changes of complete transactions, with _commit, the number at which theirs commits: its largest one.
 
-    changes: _seq, _tx and _size, with whatever else. A transaction is complete once
-    _size different _seq of it have come; of differing sizes the largest counts, and
-    null means 1. A change without a transaction commits alone. Distinct numbers of
-    a transaction are counted before and after the shuffle, and rows of a hot one
-    are spread.
+    changes: _seq and _tx, maybe _size, with whatever else. A transaction is complete
+    once _size different _seq of it have come; of differing sizes the largest counts,
+    and null means 1. Without _size, what has come of it is all. A change without a
+    transaction commits alone. Distinct numbers of a transaction are counted before
+    and after the shuffle. There may be as many transactions as changes, so the
+    join is not salted: the changes of a hot one are split by adaptive execution.
     """
-    have = changes.where(F.col("_tx").isNotNull()).groupBy("_tx", "_seq").agg(F.max("_size").alias("_want"))
-    have = have.groupBy("_tx").agg(F.count("*").alias("_have"), F.max("_want").alias("_want"), F.max("_seq").alias("_last"))
-    have = have.select("_tx", (F.col("_have") >= F.coalesce("_want", F.lit(1))).alias("_whole"), "_last")
-    found = salted_join(changes, have, ["_tx"], "_seq")
+    rows = changes.where(F.col("_tx").isNotNull())
+    if "_size" in changes.columns:
+        have = rows.groupBy("_tx", "_seq").agg(F.max("_size").alias("_want"))
+        have = have.groupBy("_tx").agg(F.count("*").alias("_have"), F.max("_want").alias("_want"), F.max("_seq").alias("_last"))
+        have = have.select("_tx", (F.col("_have") >= F.coalesce("_want", F.lit(1))).alias("_whole"), "_last")
+    else:
+        have = rows.groupBy("_tx").agg(F.max("_seq").alias("_last")).withColumn("_whole", F.lit(True))
+    found = changes.join(have, "_tx", "left")
     alone = F.col("_tx").isNull()
     return found.where(alone | F.col("_whole")).select(*changes.columns, F.when(alone, F.col("_seq")).otherwise(F.col("_last")).alias("_commit"))
 
@@ -87,12 +90,14 @@ def replay_parts(feed: DataFrame, key: str, seq: str, at: str | Column, transact
     change = F.struct(*[F.col(f"`{c}`") for c in feed.columns if c != key])
     number = F.col(f"`{seq}`").cast("long")
     columns = [F.col(f"`{key}`").alias("_key"), number.alias("_seq"), F.struct(instant_ns(at).alias("t"), number.alias("q")).alias("_order"), change.alias("_change")]
-    if transaction and transaction_size:
-        changes = feed.select(*columns, F.col(f"`{transaction}`").alias("_tx"), F.col(f"`{transaction_size}`").alias("_size")).where("_seq is not null")
-        changes = committed_changes(changes)
+    if transaction:
+        size = [F.col(f"`{transaction_size}`").alias("_size")] if transaction_size else []
+        came = feed.select(*columns, F.col(f"`{transaction}`").alias("_tx"), *size).where("_seq is not null")
+        changes = committed_changes(came)
+        numbers = changes if size else came
     else:
-        changes = feed.select(*columns).where("_seq is not null").withColumn("_commit", F.col("_seq"))
-    beyond = F.col("_commit") > contiguous_watermark(changes, "_seq").scalar()
+        numbers = changes = feed.select(*columns).where("_seq is not null").withColumn("_commit", F.col("_seq"))
+    beyond = F.col("_commit") > contiguous_watermark(numbers, "_seq").scalar()
     rows = changes.where("_key is not null").select("_key", F.struct(F.col("_order").alias("order"), F.col("_change").alias("change")).alias("_value"), "_order", beyond.alias("_beyond"))
     last = lambda which: F.max_by(F.when(which, F.col("_value")), F.when(which, F.col("_order")))
     return rows.groupBy(F.col("_key").alias(key)).agg(last(~F.col("_beyond")).alias("committed"), last(F.col("_beyond")).alias("held"))
@@ -134,7 +139,8 @@ def replay(
     The result has the feed's columns, of each surviving key the last change,
     and after_gap: the change lies beyond the contiguous committed watermark.
 
-    Method: complete transactions are assembled (committed_changes); bitmaps of
+    Method: complete transactions are assembled (committed_changes; without
+    transaction_size each is complete with what has come of it); bitmaps of
     their numbers give the watermark up to which nothing is missing; a transaction
     whose largest number lies beyond it is held as a whole (replay_parts). With
     close=False only the state at the watermark is exposed; close=True is the end

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from voxloom.operators.diff import listing_diff, only_per_folder, presence
 from voxloom.operators.periods import periods_and_gaps
 from voxloom.operators.replay import replay
-from voxloom.operators.scan import salted_join
 from voxloom.sources import table
 
 
@@ -30,13 +29,10 @@ def p4_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_by_transactions(spark: SparkSession, d: str) -> DataFrame:
-    """Changes that one device made at one time, as one transaction; one is complete with as many changes as the feed has of it."""
-    feed = table(spark, d, "manifest_feed").select("rel_path", "change_id", "etag", "size_bytes", "synced_at", "origin", "deleted_at")
-    made = F.concat_ws("@", F.coalesce("origin", F.lit("")), F.col("synced_at").cast("string"))
-    feed = feed.withColumn("made", F.when(F.col("synced_at").isNotNull(), made))
-    sizes = feed.where("made is not null and change_id is not null").groupBy("made", "change_id").count().groupBy("made").agg(F.count("*").alias("size"))
-    feed = salted_join(feed, sizes, ["made"], "change_id")
-    return replay(feed, transaction="made", transaction_size="size").select("rel_path", "change_id", "etag", "origin")
+    """Changes that one device made at one time, as one transaction."""
+    made = F.when(F.col("synced_at").isNotNull(), F.concat_ws("@", F.coalesce("origin", F.lit("")), F.col("synced_at").cast("string")))
+    feed = table(spark, d, "manifest_feed").select("rel_path", "change_id", "etag", "synced_at", "origin", "deleted_at", made.alias("made"))
+    return replay(feed, transaction="made").select("rel_path", "change_id", "etag", "origin")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
