@@ -127,6 +127,24 @@ def test_clusters(spark):
     assert {(r.session_id, r.emb_id): r.cluster for r in out.collect()} == {**{("s", i): i % 2 for i in range(6)}, ("t", 10): 0}
 
 
+def test_clusters_found_by_cells_are_those_of_all_pairs():
+    rng = np.random.default_rng(7)
+    for size, d in ((1, 2), (2, 2), (40, 1), (300, 2), (700, 3), (700, 8), (300, 40)):
+        centres = rng.normal(size=(4, d))
+        x = centres[rng.integers(4, size=size)] + rng.normal(size=(size, d)) * 0.2
+        x[rng.random(size) < 0.05] = 0.0
+        x[size // 2 :: 7] = x[: len(x[size // 2 :: 7])]
+        for y in (x, np.round(x, 1), np.ones_like(x)):
+            for limits in ((0.62, 2, 8), (0.95, 1, 20), (-2.0, 1, 3)):
+                assert agglomerate_labels(y, *limits, dense=0).tolist() == agglomerate_labels(y, *limits, dense=size).tolist()
+    assert agglomerate_labels(np.array([[1.0, 0.0], [np.inf, 1.0], [np.nan, 1.0], [1.0, 0.1]] * 200)).max() <= 7
+
+
+def test_sessions_beyond_100_000_vectors_are_clustered_without_a_number_of_clusters(spark):
+    rows = spark.range(100_001).selectExpr("'s' as session_id", "id as emb_id", "id as start_ms", "case when id < 4 then array(1d, cast(id % 2 as double)) else array(1d) end as vector")
+    assert {(r.emb_id, r.cluster) for r in cluster_sessions(rows).collect()} == {(0, 0), (1, 1), (2, 0), (3, 1)}
+
+
 def test_large_sessions_are_clustered_by_the_same_rule(spark):
     rng = np.random.default_rng(5)
     rows = [(s, 1_000 * n + i, rng.choice([None, int(rng.integers(50))]), rng.normal(size=3).tolist()) for n, s in enumerate("abc") for i in range(300)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EPSILON = 1.1920929e-07  # of single precision
+from voxloom.operators.directions import EPSILON, GONE, PLACES, Directions, units
 
 
 def _col(x: str | Column) -> Column:
@@ -168,60 +169,93 @@ def kmeans_labels(x: np.ndarray, k: int, rounds: int = 25) -> np.ndarray:
     return first_appearance(labels)
 
 
-def agglomerate_labels(x: np.ndarray, threshold: float = 0.62, least: int = 2, most: int = 8) -> np.ndarray:
+def agglomerate_labels(x: np.ndarray, threshold: float = 0.62, least: int = 2, most: int = 8, dense: int = 512) -> np.ndarray:
     """Clusters merged by the cosine of their centres, the closest pair first, down to least while threshold is reached, and to most in any case.
 
-    Of equally close pairs the first. Of each cluster only its closest later one is
-    held, so memory grows with the vectors and not with their pairs; after a merge
-    those are sought anew whose closest one has changed.
+    Of equally close pairs, to 12 places, the first. Up to dense vectors the cosines
+    of all pairs are held; beyond, each cluster's closest one, which is sought in
+    cells of directions (see Directions), so memory grows with the vectors and not
+    with their pairs.
     """
-    n = len(x)
-    labels, sums, alive = np.arange(n), x.astype(np.float64).copy(), np.ones(n, bool)
-    best, near = np.full(n, -np.inf), np.full(n, -1)
-
-    def seek(i: int) -> None:
-        rest = np.flatnonzero(alive[i + 1 :]) + i + 1
-        best[i], near[i] = -np.inf, -1
-        if len(rest):
-            found = _cosines(sums[i : i + 1], sums[rest])[0]
-            at = int(found.argmax())
-            best[i], near[i] = found[at], rest[at]
-
-    for i in range(n):
-        seek(i)
-    while (left := int(alive.sum())) > least:
-        i = int(best.argmax())
-        if not np.isfinite(best[i]) or best[i] < threshold and left <= most:
+    merge = _merged_densely if len(x) <= dense else _merged_by_cells
+    return first_appearance(merge(x.astype(np.float64), threshold * PLACES, least, most))
+
+
+def _merged_densely(sums: np.ndarray, threshold: float, least: int, most: int) -> np.ndarray:
+    n = left = len(sums)
+    labels = np.arange(n)
+    own = np.hstack([units(sums), np.zeros((n, 1))])
+    close = np.rint(own @ own.T * PLACES)
+    close[np.tril_indices(n)] = GONE * PLACES
+    while left > least:
+        i, j = divmod(int(close.argmax()), n)
+        if close[i, j] < threshold and left <= most:
             break
-        j = int(near[i])
         sums[i] += sums[j]
         labels[labels == j] = i
-        alive[j], best[j], near[j] = False, -np.inf, -1
-        seek(i)
-        for k in np.flatnonzero(alive & ((near == j) | (near == i))):
-            if k != i:
-                seek(int(k))
-        before = np.flatnonzero(alive[:i])
-        if len(before):
-            now = _cosines(sums[i : i + 1], sums[before])[0]
-            better = (now > best[before]) | ((now == best[before]) & (near[before] > i))
-            best[before[better]], near[before[better]] = now[better], i
-    return first_appearance(labels)
-
-
-def cluster_sessions(embeddings: DataFrame, k: int | None = None, most_items: int = 100_000) -> DataFrame:
+        own[i, :-1], own[j, :-1], own[j, -1] = units(sums[i : i + 1])[0], 0.0, GONE
+        now = np.rint(own @ np.append(own[i, :-1], 1.0) * PLACES)
+        close[:i, i], close[i, i + 1 :] = now[:i], now[i + 1 :]
+        close[j], close[:, j] = GONE * PLACES, GONE * PLACES
+        left -= 1
+    return labels
+
+
+def _merged_by_cells(sums: np.ndarray, threshold: float, least: int, most: int) -> np.ndarray:
+    """The closest one of a cluster was the closest when it was sought; as clusters merged later look for themselves, it
+    bounds the pairs with older ones from above, and is sought anew only when it comes first and no longer exists."""
+    n = left = built = len(sums)
+    parents, alive, version = np.arange(n), np.ones(n, bool), [0] * n
+    index = Directions(parents, units(sums))
+
+    def sought(c: int) -> tuple:
+        close, other = index.closest(c)
+        return -close, min(c, other), max(c, other), c, version[c], version[other]
+
+    heap = [sought(c) for c in range(n)] if n > 1 else []
+    heapq.heapify(heap)
+    while left > least and heap:
+        close, i, j, c, mine, others = heap[0]
+        if version[c] != mine:
+            heapq.heappop(heap)
+        elif version[i + j - c] != others:
+            heapq.heapreplace(heap, sought(c))
+        elif -close < threshold and left <= most:
+            break
+        else:
+            heapq.heappop(heap)
+            sums[i] += sums[j]
+            parents[j], alive[j], version[j] = i, False, -1
+            version[i] += 1
+            left -= 1
+            if left < 0.7 * built:
+                rest = np.flatnonzero(alive)
+                index, built = Directions(rest, units(sums[rest])), left
+            else:
+                index.replace(i, j, units(sums[i : i + 1])[0])
+            if left > 1:
+                heapq.heappush(heap, sought(i))
+    for c in range(n):  # a parent comes before its clusters
+        parents[c] = parents[parents[c]]
+    return parents
+
+
+def cluster_sessions(embeddings: DataFrame, k: int | None = None, most_items: int | None = None) -> DataFrame:
     """(session_id, emb_id, cluster): clusters of each session's vectors, with k of them or, without k, by agglomeration.
 
     Vectors that are null, empty or of another length than the session's first are
     left out; copies by emb_id count once; order is that of start_ms and emb_id.
-    All vectors of a session meet in one task, up to most_items of them. With k,
-    larger sessions are clustered by the same rule in passes over distributed rows
-    (see kmeans.spread_kmeans); they are found by one count, copies included, and
-    there are at most one per most_items rows. Without k they are refused, as
-    agglomeration compares all pairs of a session.
+    All vectors of a session meet in one task, up to most_items of them, by default
+    100,000 with k and 2,000,000 without. With k, larger sessions are clustered by
+    the same rule in passes over distributed rows (see kmeans.spread_kmeans); they
+    are found by one count, copies included, and there are at most one per
+    most_items rows. Without k they are refused, as each merge depends on all
+    merges before and the task holds about 1 KB a vector.
     """
     from voxloom.operators.kmeans import spread_kmeans
 
+    most_items = most_items or (100_000 if k else 2_000_000)
+
     def label(table: pa.Table) -> pa.Table:
         if len(table) > most_items:
             raise ValueError(f"a session has {len(table)} vectors; most_items is {most_items}")
