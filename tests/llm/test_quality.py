@@ -102,6 +102,18 @@ def test_the_model_is_one_row_and_of_a_bounded_sample(spark):
     assert [len(r.model) for r in line_model(df.limit(0)).collect()] in ([], [20 + 4 * len(LOOKS)])
 
 
+def test_the_model_is_fitted_on_all_lines_of_all_documents(spark):
+    late = "- entry\n" * 600 + "€2.45\t€96801.65\t-\t€6.09\n" * 2_000
+    texts = [late, None, "", *("var y=function(){return 264<<68};\n" * (n % 5) + PROSE for n in range(2_600))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    looks = [[list(LOOKS).index(look_of(line)[0]) for line in (t or "").splitlines()] for t in texts]
+    whole = LineModel.fitted(np.array([x for own in looks for x in own]), np.array([len(own) for own in looks]))
+    found = LineModel.of(line_model(df).first().model)
+    assert np.allclose(found.start, whole.start) and np.allclose(found.transition, whole.transition) and np.allclose(found.emission, whole.emission)
+    given, own = ({tuple(r) for r in text_quality(df, model=m).collect()} for m in (line_model(df), None))
+    assert given == own and len(own) == len(texts)
+
+
 def test_operator(spark):
     items = "\n".join(f"• item {i}" for i in range(30))
     table = "\n".join(f"name {i}\t{i}.5\t{i * 7}\t-" for i in range(30))

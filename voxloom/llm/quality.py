@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.session import materialize
+
 # Function words (articles, pronouns, prepositions, conjunctions, auxiliaries, particles) of each language.
 ENGLISH = "a an the and or but nor so yet if then than as because while when where although of to in on at by for from with without about into over under after before between through during against am is are was were be been being do does did have has had will would shall should can could may might must i you he she it we they me him her us them my your his its our their this that these those who whom whose which what how there not no"
 GERMAN = "der die das den dem des ein eine einen einem einer eines und oder aber denn sondern doch wenn dann als weil dass ob wie wo was wer ich du er sie es wir ihr mich dich ihn uns euch ihnen mein dein sein unser nicht kein keine in im an am auf aus bei mit nach von vom vor zu zum zur für um durch gegen ohne über unter zwischen ist sind war waren bin wird werden wurde hat haben hatte kann können muss soll auch nur noch schon so sehr man sich"
@@ -44,10 +45,10 @@ LOOKS: dict[str, tuple[float, float, float, float]] = {
 _LOOK = {name: n for n, name in enumerate(LOOKS)}
 PRIOR = np.array(list(LOOKS.values()))
 STAY = 0.9  # of the prior: the next line has the same state
-SAMPLE = 2000  # documents that the model is fitted on, at most
-SAMPLE_LINES = 500  # lines of each of them that are used, at most
 ROUNDS = 8
+WEIGHT = 5.0  # of the prior, in times of the lines given
 LEAST_LINES = 5000
+PART_LINES = 1 << 18  # lines of the documents that are handled in step, unless one has more
 
 
 class LineModel:
@@ -72,21 +73,24 @@ class LineModel:
         return np.log(self.start), np.log(self.transition), np.log(self.emission)
 
     @classmethod
-    def fitted(cls, looks: np.ndarray, lengths: np.ndarray, rounds: int = ROUNDS, weight: float = 5.0) -> LineModel:
+    def fitted(cls, looks: np.ndarray, lengths: np.ndarray, rounds: int = ROUNDS, weight: float = WEIGHT) -> LineModel:
         """By expectation and maximisation from the prior, which counts as much as weight times the lines given, or LEAST_LINES if these are fewer.
 
         looks: of the lines of documents, one behind the other; lengths: lines of
         each. The prior keeps the states what their names say; the data tell how
         often each look and each change of state occurs. Without lines, the prior.
         """
-        prior = cls.prior()
         lengths = lengths[lengths > 0]
-        if not len(lengths):
-            return prior
-        n, docs, now = max(float(lengths.sum()), LEAST_LINES), max(float(len(lengths)), LEAST_LINES / 10), prior
-        for _ in range(rounds):
-            start, pairs, seen = now._expected(looks, lengths)
-            start = start + weight * docs * prior.start
+        return cls.iterated(lambda now: now._expected(looks, lengths), int(lengths.sum()), len(lengths), rounds, weight)
+
+    @classmethod
+    def iterated(cls, expected: Callable[[LineModel], tuple], lines: int, docs: int, rounds: int = ROUNDS, weight: float = WEIGHT) -> LineModel:
+        """As fitted, by the sums of _expected over docs documents with lines lines, wherever they are taken."""
+        prior = now = cls.prior()
+        n, d = max(float(lines), LEAST_LINES), max(float(docs), LEAST_LINES / 10)
+        for _ in range(rounds if lines else 0):
+            start, pairs, seen = expected(now)
+            start = start + weight * d * prior.start
             pairs = pairs + weight * n * 0.25 * prior.transition
             seen = seen + weight * n * 0.25 * prior.emission
             now = cls(start / start.sum(), pairs / pairs.sum(axis=1, keepdims=True), seen / seen.sum(axis=0))
@@ -290,23 +294,26 @@ _STATISTICS = {
 }
 
 
-def _measure(texts: list[str | None], model: LineModel) -> dict[str, list]:
-    looks: list[int] = []
-    visible: list[int] = []
-    lengths = np.zeros(len(texts), np.int64)
-    out: dict[str, list] = {c: [] for c in _STATISTICS}
-    for n, text in enumerate(texts):
-        words = common = letters = ended = lines = signs = digits = seen = 0
+_READ = {c: t for c, t in _STATISTICS.items() if c.removesuffix("_share") not in STATES}
+
+
+def _read(texts: list[str | None]) -> dict[str, list]:
+    """Statistics of texts that need no model, and of their lines the looks, a byte each, and the visible characters, four bytes each."""
+    out: dict[str, list] = {c: [] for c in (*_READ, "_looks", "_visible")}
+    for text in texts:
+        looks: list[int] = []
+        visible: list[int] = []
+        words = common = letters = ended = signs = digits = seen = 0
         for line in _LINES.split(text or ""):
             if not line or line.isspace():
                 continue
             look, w, c, x, v, d = look_of(line)
             looks.append(_LOOK[look])
             visible.append(v)
-            words, common, letters, lines, seen, digits = words + w, common + c, letters + x, lines + 1, seen + v, digits + d
+            words, common, letters, seen, digits = words + w, common + c, letters + x, seen + v, digits + d
             signs += max(v - x - d, 0)
             ended += line.rstrip().endswith((".", "!", "?", "…", "。", "！", "？", '"', "”"))
-        lengths[n] = lines
+        lines = len(looks)
         out["lines"].append(lines)
         out["words"].append(words)
         out["mean_word_length"].append(letters / words if words else None)
@@ -314,43 +321,79 @@ def _measure(texts: list[str | None], model: LineModel) -> dict[str, list]:
         out["digit_share"].append(digits / seen if seen else None)
         out["ended_line_share"].append(ended / lines if lines else None)
         out["common_word_share"].append(common / words if words else None)
-    states = viterbi(model, np.array(looks, np.int64), lengths)
-    sizes, edges = np.array(visible, np.float64), np.concatenate([[0], np.cumsum(lengths)])
+        out["_looks"].append(bytes(looks))
+        out["_visible"].append(np.array(visible, np.uint32).tobytes())
+    return out
+
+
+def _shares(looks: list[bytes], visible: list[bytes], model: LineModel) -> dict[str, list]:
+    """Shares of the visible characters of each document in lines of each state."""
+    lengths = np.array([len(x) for x in looks], np.int64)
+    states = viterbi(model, np.frombuffer(b"".join(looks), np.uint8).astype(np.int64), lengths)
+    sizes, edges = np.frombuffer(b"".join(visible), np.uint32).astype(np.float64), np.concatenate([[0], np.cumsum(lengths)])
+    whole = np.concatenate([[0.0], np.cumsum(sizes)])
+    whole = whole[edges[1:]] - whole[edges[:-1]]
+    out = {}
     for s, name in enumerate(STATES):
         sums = np.concatenate([[0.0], np.cumsum(sizes * (states == s))])
-        part = sums[edges[1:]] - sums[edges[:-1]]
-        whole = np.concatenate([[0.0], np.cumsum(sizes)])
-        whole = whole[edges[1:]] - whole[edges[:-1]]
-        out[f"{name}_share"] = [float(a / b) if b else None for a, b in zip(part, whole)]
+        out[f"{name}_share"] = [float(a / b) if b else None for a, b in zip(sums[edges[1:]] - sums[edges[:-1]], whole)]
     return out
 
 
-def _looks(text: str, most: int) -> bytes:
-    found = [_LOOK[look_of(line)[0]] for line in islice((x for x in _LINES.split(text) if x and not x.isspace()), most)]
-    return bytes(found)
+def _parts(looks: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Looks and lengths of documents with lines, PART_LINES lines at a time or one document."""
+    part: list[bytes] = []
+    size = 0
+    for own in [*looks, None]:
+        if part and (own is None or size + len(own) > PART_LINES):
+            yield np.frombuffer(b"".join(part), np.uint8).astype(np.int64), np.array([len(x) for x in part], np.int64)
+            part, size = [], 0
+        if own:
+            part.append(own)
+            size += len(own)
 
 
-def line_model(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, lines: int = SAMPLE_LINES) -> DataFrame:
-    """(model): one row with the values of a LineModel fitted on about sample documents, of which at most lines lines each are used.
+def _fitted(read: DataFrame) -> LineModel:
+    """The model of all lines of read (_looks), which is read once a round: sums are taken per task and added on the driver."""
+
+    def expected(now: LineModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums = np.zeros(20 + 4 * len(LOOKS))
+            for frame in frames:
+                for looks, lengths in _parts(frame["_looks"]):
+                    sums += np.concatenate([x.ravel() for x in now._expected(looks, lengths)])
+            yield pd.DataFrame({"sums": [sums.tolist()]})
+
+        found = LineModel.of(sum(np.array(r["sums"]) for r in rows.mapInPandas(run, "sums array<double>").collect()))
+        return found.start, found.transition, found.emission
+
+    rows = read.select("_looks").where(F.length("_looks") > 0)
+    docs, lines = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("_looks")), F.lit(0))).first()
+    return LineModel.iterated(expected, lines, docs)
 
-    The documents are those whose key's hash, modulo the number of documents, is
-    below sample; with no more documents than that, all. So the work of fitting
-    does not grow with the corpus; it is done in one task. Nothing runs before the
-    result is used.
-    """
 
-    def looks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"looks": [_looks(t, lines) for t in frame["_text"]]})
+            yield pd.DataFrame({"_key": frame["_key"], **_read([t if isinstance(t, str) else None for t in frame["_text"]])})
+
+    schema = ", ".join([f"_key {df.schema[key].dataType.simpleString()}", *(f"{c} {t}" for c, t in _READ.items()), "_looks binary, _visible binary"])
+    return df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).mapInPandas(run, schema)
 
-    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = sorted(b for frame in frames for b in frame["looks"])[: 2 * sample]
-        values = LineModel.fitted(np.frombuffer(b"".join(found), np.uint8).astype(np.int64), np.array([len(b) for b in found], np.int64)).values()
-        yield pd.DataFrame({"model": [values]})
 
-    count = df.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
-    rows = df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).where(F.pmod(F.xxhash64("_key"), count.scalar()) < sample)
-    return rows.where("_text is not null").mapInPandas(looks, "looks binary").repartition(1).mapInPandas(fit, "model array<double>")
+def line_model(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int | None = None) -> DataFrame:
+    """(model): one row with the values of a LineModel fitted on all lines of all documents.
+
+    The looks of lines are written to the scratch area, a byte a line, and read in
+    each of ROUNDS passes, which run here. With sample, only about so many
+    documents are used, those whose key's hash, modulo the number of documents, is
+    below it.
+    """
+    if sample is not None:
+        count = df.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
+        df = df.where(F.pmod(F.xxhash64(key), count.scalar()) < sample)
+    model = _fitted(materialize(_read_rows(df, key, text).select("_looks"), "looks"))
+    return df.sparkSession.createDataFrame([(model.values(),)], "model array<double>")
 
 
 def text_quality(df: DataFrame, key: str = "doc_id", text: str = "text", model: DataFrame | None = None) -> DataFrame:
@@ -368,20 +411,29 @@ def text_quality(df: DataFrame, key: str = "doc_id", text: str = "text", model:
     model with the states prose, list, table and junk labels the lines of a
     document by the likeliest path, so a line that could be anything goes with its
     neighbours. All documents of a batch are decoded in step. model is the result of
-    line_model, by default that of df; its probabilities come from the corpus, held
-    to the states by a prior.
+    line_model; its probabilities come from the corpus, held to the states by a
+    prior. Without it, one is fitted on all lines of df: what has been read of each
+    line goes to the scratch area, so texts are read once, and the passes of the
+    fitting run here.
     """
-    model = line_model(df, key, text) if model is None else model
+    read = _read_rows(df, key, text)
     kind = df.schema[key].dataType.simpleString()
+    own = None
+    if model is None:
+        read = materialize(read, "lines-read")
+        own = _fitted(read)
+    else:
+        read = read.withColumn("_model", model.scalar())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts = [t if isinstance(t, str) else None for t in frame["_text"]]
-            given = frame["_model"].iloc[0] if len(frame) else None
-            yield pd.DataFrame({key: frame[key], **_measure(texts, LineModel.prior() if given is None else LineModel.of(given))})
+            given = own or LineModel.prior()
+            if own is None and len(frame) and frame["_model"].iloc[0] is not None:
+                given = LineModel.of(frame["_model"].iloc[0])
+            yield pd.DataFrame({key: frame["_key"], **{c: frame[c] for c in _READ}, **_shares(list(frame["_looks"]), list(frame["_visible"]), given)})
 
     schema = ", ".join([f"`{key}` {kind}", *(f"{c} {t}" for c, t in _STATISTICS.items())])
-    out = df.select(key, F.col(text).cast("string").alias("_text"), model.scalar().alias("_model")).mapInPandas(run, schema)
+    out = read.mapInPandas(run, schema)
     label = F.lit(None).cast("string")
     for s in STATES:
         label = F.when(F.col(f"{s}_share") > 0.5, F.lit(s)).otherwise(label)
