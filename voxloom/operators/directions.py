@@ -17,6 +17,12 @@ def units(sums: np.ndarray) -> np.ndarray:
         return np.where((lengths > EPSILON) & np.isfinite(lengths), sums / lengths, 0.0)
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """The same of one row."""
+    length = float(x @ x) ** 0.5
+    return x / length if EPSILON < length < np.inf else np.zeros(len(x))
+
+
 class Directions:
     """Unit vectors of clusters, in cells of width each, which a cone bounds: a centre and the widest angle to it.
 
@@ -80,12 +86,14 @@ class Directions:
             cos = self.centres @ u[:-1]
             bound = np.where(cos >= self.cos, 1.0, cos * self.cos + np.sqrt(np.maximum(1 - cos * cos, 0)) * self.sin)
             near = (u @ self.cells[:, int(cos.argmax())]).max()
-            cells = np.flatnonzero(np.maximum(bound, self.least) >= near - SLACK)
+            cells = (np.maximum(bound, self.least) >= near - SLACK).nonzero()[0]
         if cells is None or 2 * len(cells) > self.count:
             found, ids = u @ self.values, self.ids
         else:
             found, ids = u @ self.cells[:, cells].reshape(len(u), -1), self.ids.reshape(self.count, -1)[cells].ravel()
         self.values[-1, s] = 0.0
-        at = np.flatnonzero(found >= found.max() - 1.5 / PLACES)
+        at = (found >= found.max() - 1.5 / PLACES).nonzero()[0]
+        if len(at) == 1:
+            return float(np.rint(found[at[0]] * PLACES)), int(ids[at[0]])
         steps = np.rint(found[at] * PLACES)
         return float(steps.max()), int(ids[at[steps == steps.max()]].min())

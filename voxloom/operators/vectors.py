@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.operators.directions import EPSILON, GONE, PLACES, Directions, units
+from voxloom.operators.directions import EPSILON, GONE, PLACES, Directions, unit as direction, units
 
 
 def _col(x: str | Column) -> Column:
@@ -183,8 +183,8 @@ def agglomerate_labels(x: np.ndarray, threshold: float = 0.62, least: int = 2, m
 
 def _merged_densely(sums: np.ndarray, threshold: float, least: int, most: int) -> np.ndarray:
     n = left = len(sums)
-    labels = np.arange(n)
-    own = np.hstack([units(sums), np.zeros((n, 1))])
+    parents = list(range(n))
+    own, sought = np.hstack([units(sums), np.zeros((n, 1))]), np.ones(sums.shape[1] + 1)
     close = np.rint(own @ own.T * PLACES)
     close[np.tril_indices(n)] = GONE * PLACES
     while left > least:
@@ -192,13 +192,16 @@ def _merged_densely(sums: np.ndarray, threshold: float, least: int, most: int) -
         if close[i, j] < threshold and left <= most:
             break
         sums[i] += sums[j]
-        labels[labels == j] = i
-        own[i, :-1], own[j, :-1], own[j, -1] = units(sums[i : i + 1])[0], 0.0, GONE
-        now = np.rint(own @ np.append(own[i, :-1], 1.0) * PLACES)
+        parents[j] = i
+        own[i, :-1], own[j, :-1], own[j, -1] = direction(sums[i]), 0.0, GONE
+        sought[:-1] = own[i, :-1]
+        now = np.rint(own @ sought * PLACES)
         close[:i, i], close[i, i + 1 :] = now[:i], now[i + 1 :]
         close[j], close[:, j] = GONE * PLACES, GONE * PLACES
         left -= 1
-    return labels
+    for c in range(n):  # a parent comes before its clusters
+        parents[c] = parents[parents[c]]
+    return np.array(parents)
 
 
 def _merged_by_cells(sums: np.ndarray, threshold: float, least: int, most: int) -> np.ndarray:
@@ -232,7 +235,7 @@ def _merged_by_cells(sums: np.ndarray, threshold: float, least: int, most: int)
                 rest = np.flatnonzero(alive)
                 index, built = Directions(rest, units(sums[rest])), left
             else:
-                index.replace(i, j, units(sums[i : i + 1])[0])
+                index.replace(i, j, direction(sums[i]))
             if left > 1:
                 heapq.heappush(heap, sought(i))
     for c in range(n):  # a parent comes before its clusters
